@@ -16,6 +16,8 @@ import pyarrow as pa
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes between terms: every ASCII byte that is no letter and no digit.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C55)
@@ -90,14 +92,14 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def words(texts: Texts, lower: bool = True) -> Words:
-    """Splits every text into words; ``lower`` folds A-Z before hashing."""
+def words(texts: Texts, lower: bool = True, breaks: np.ndarray = _BLANK) -> Words:
+    """Splits every text into words at the bytes in ``breaks``; ``lower`` folds A-Z before hashing."""
     data, offsets = texts
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
         return Words(none, none, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64))
-    blank = _BLANK[data]
+    blank = breaks[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.empty(n, bool)
