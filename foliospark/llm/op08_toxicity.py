@@ -2,7 +2,8 @@
 
 score = sigmoid(w0 + sum_i w_i + sum_{i<j} <v_i, v_j>) over the distinct hashed terms of the
 whole text, so that pairs of terms (an insult with a group mention) count beyond what each
-adds alone. Terms are runs of letters, digits and non-ASCII bytes, A-Z lower-cased, hashed to
+adds alone. Terms are runs of letters, digits and non-ASCII bytes, A-Z lower-cased, and the
+first STEM bytes of the longer ones (for inflected and compound words), hashed to
 2**HASH_BITS buckets.
 
 Training is on the driver, in numpy, on at most TRAIN_ROWS labelled rows (those with the
@@ -28,10 +29,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.textkit import NOT_ALNUM, Texts, slices, unique_in_texts, words
+from foliospark.llm.textkit import NOT_ALNUM, Texts, slices, stems, unique_in_texts, words
 from foliospark.session import prepare, table
 
-HASH_BITS = 18
+HASH_BITS, STEM = 18, 6
 #: Labelled rows at most that training sees.
 TRAIN_ROWS = 6000
 MIN_ROWS, MIN_Z, MAX_TERMS = 5, 4.0, 2048
@@ -51,7 +52,12 @@ class Machine(NamedTuple):
 def buckets(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct buckets of each text, and the index of each text's first."""
     w = words(texts, breaks=NOT_ALNUM)
-    return unique_in_texts(w.hashes >> np.uint64(64 - HASH_BITS), w.first)
+    stem, first = stems(texts, w, STEM)
+    n = len(texts.offsets) - 1
+    owner = np.concatenate([np.repeat(np.arange(n), w.counts), np.repeat(np.arange(n), np.diff(first))])
+    found = np.concatenate([w.hashes, stem]) >> np.uint64(64 - HASH_BITS)
+    order = np.argsort(owner, kind="stable")
+    return unique_in_texts(found[order], w.first + first)
 
 
 def _sigmoid(x):

@@ -92,6 +92,21 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def stems(texts: Texts, w: Words, size: int, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the first ``size`` bytes of the words longer than that, and the index of each
+    text's first."""
+    data = _LOWER[texts.data] if lower else texts.data
+    long = w.ends - w.starts > size
+    begin = w.starts[long]
+    total = np.zeros(len(begin), np.uint64)
+    up, _ = _power(size)
+    for k in range(size):
+        total += (data[begin + k].astype(np.uint64) + np.uint64(1)) * up[k]
+    first = np.zeros(len(long) + 1, np.int64)
+    np.cumsum(long, out=first[1:])
+    return mix(total ^ np.uint64(0x5DEECE66D)), first[w.first]
+
+
 def words(texts: Texts, lower: bool = True, breaks: np.ndarray = _BLANK) -> Words:
     """Splits every text into words at the bytes in ``breaks``; ``lower`` folds A-Z before hashing."""
     data, offsets = texts
