@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import op01_quality, op02_language, op03_jaccard, op04_token_output, op05_lm, op07_urls, op08_toxicity, op09_packing, op10_secrets
+from foliospark.llm import op01_quality, op02_language, op03_jaccard, op04_token_output, op05_lm, op06_decontaminate, op07_urls, op08_toxicity, op09_packing, op10_secrets
 
-_MODULES = (op01_quality, op02_language, op03_jaccard, op04_token_output, op05_lm, op07_urls, op08_toxicity, op09_packing, op10_secrets)
+_MODULES = (op01_quality, op02_language, op03_jaccard, op04_token_output, op05_lm, op06_decontaminate, op07_urls, op08_toxicity, op09_packing, op10_secrets)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
