@@ -9,9 +9,9 @@ index holds its largest weight of all, its largest weight in each block, and its
 
 Search. A text is cut into strides of as many terms as the longest item has; a passage is two
 strides in a row, so it holds any item that occurs in one piece, wherever it begins. Passages are
-pruned by the sum of their terms' largest weights, then (passage, block) pairs by the sum of the
-blocks' largest weights; whole blocks are skipped, as block-max WAND does, without changing what
-is found. What is left is scored exactly, and every item at SCORE or more is verified. All
+pruned by the sum of their terms' largest weights, then by the sums of each block's largest
+weights: a passage of which every block stays below the threshold is skipped, as block-max WAND
+skips, without changing what is found. What is left is scored exactly, and every item at SCORE or more is verified. All
 passages of a slice of texts are searched at once by arrays; nothing is capped.
 
 Verification. An item's question is its text up to the last question mark that has an answer
@@ -44,8 +44,8 @@ from foliospark.session import prepare, table
 
 K1, B = 1.2, 0.75
 SCORE, OVERLAP, RUN = 0.5, 0.5, 3
-BLOCK = 8
-SHARD_BYTES = 1 << 20
+BLOCK = 4
+SHARD_BYTES = 1 << 18
 LEAK = "array<struct<item_id:{},score:double,question:double,answer:double>>"
 
 
@@ -122,7 +122,8 @@ def search(index: Index, texts: Texts) -> list[tuple[int, int, float, float, flo
     text_of = np.repeat(np.arange(len(n_strides)), n_strides)
     owner = np.repeat(np.arange(len(w.counts)), w.counts)[known]
     stride = stride_first[owner] + (known - w.first[owner]) // index.stride
-    term = at[known]
+    pairs = np.unique(stride * len(index.terms) + at[known])  # a term counts once in a stride
+    stride, term = pairs // len(index.terms), pairs % len(index.terms)
     total = np.bincount(stride, weights=index.most[term], minlength=stride_first[-1])
     follows = np.append(text_of[1:] == text_of[:-1], False)  # the next stride is of the same text
     ahead = lambda x: np.where(follows if x.ndim == 1 else follows[:, None], np.concatenate([x[1:], x[:1]]), 0)
@@ -136,36 +137,35 @@ def search(index: Index, texts: Texts) -> list[tuple[int, int, float, float, flo
     ids, begin = np.unique(stride, return_index=True)
     bound = np.zeros((len(n_strides) and stride_first[-1], index.block_most.shape[1]), np.float32)
     bound[ids] = np.add.reduceat(index.block_most[term], begin, axis=0)
-    passage, block = np.nonzero((bound + ahead(bound) >= SCORE - slack) & live[:, None])
+    passage = np.flatnonzero((bound + ahead(bound) >= SCORE - slack).any(axis=1) & live)  # the others' blocks are all skipped
     best: dict[tuple[int, int], tuple[float, float, float]] = {}
-    last, by_size = -1, {}
-    for p, b in zip(passage.tolist(), block.tolist(), strict=True):
-        if p != last:
-            a, e = np.searchsorted(stride, [p, p + 2 if follows[p] else p + 1])
-            own = np.unique(term[a:e])
-            sizes = index.first[own + 1] - index.first[own]
-            post = np.repeat(index.first[own] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-            items, weights = index.items[post], index.weights[post]
-            last, by_size = p, {}
-        inside = items // BLOCK == b
-        score = np.bincount(items[inside] - b * BLOCK, weights=weights[inside], minlength=BLOCK)
-        for k in np.flatnonzero(score >= SCORE):
-            item = b * BLOCK + int(k)
-            if not by_size:
-                t = int(text_of[p])
-                from_ = int(w.first[t]) + (p - int(stride_first[t])) * index.stride
-                passage_terms = w.hashes[from_ : min(from_ + 2 * index.stride, int(w.first[t + 1]))]
-            (size, q), a_ = index.questions[item], index.answers[item]
-            if size not in by_size:
-                by_size[size] = _runs(passage_terms, size) if len(passage_terms) >= size else passage_terms[:0]
-            in_q = float(np.isin(q, by_size[size]).mean()) if len(q) else 0.0
-            in_a = float(np.isin(a_, passage_terms).mean()) if len(a_) else 1.0
-            if in_q >= OVERLAP and in_a >= OVERLAP:
-                key = (int(text_of[p]), item)
-                best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (float(score[k]), in_q, in_a))
+    n_items = len(index.names)
+    for p in passage.tolist():
+        low, high = np.searchsorted(stride, [p, p + 2 if follows[p] else p + 1])
+        own = np.unique(term[low:high]) if follows[p] else term[low:high]
+        sizes = index.first[own + 1] - index.first[own]
+        post = np.repeat(index.first[own] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        score = np.bincount(index.items[post], weights=index.weights[post], minlength=n_items)
+        found = np.flatnonzero(score >= SCORE)
+        if len(found):
+            t = int(text_of[p])
+            from_ = int(w.first[t]) + (p - int(stride_first[t])) * index.stride
+            passage_terms = w.hashes[from_ : min(from_ + 2 * index.stride, int(w.first[t + 1]))]
+            for item in found.tolist():
+                overlap = _overlap(index, item, passage_terms)
+                if min(overlap) >= OVERLAP:
+                    best[t, item] = max(best.get((t, item), (0.0, 0.0, 0.0)), (float(score[item]), *overlap))
     return [(t, i, *v) for (t, i), v in sorted(best.items())]
 
 
+def _overlap(index: Index, item: int, passage: np.ndarray) -> tuple[float, float]:
+    """Shares of the item's question and answer that the passage has."""
+    (size, question), answer = index.questions[item], index.answers[item]
+    runs = _runs(passage, size) if len(passage) >= size else passage[:0]
+    in_question = float(np.isin(question, runs).mean()) if len(question) else 0.0
+    return in_question, float(np.isin(answer, passage).mean()) if len(answer) else 1.0
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``leaks``, the items (item_id, text) that each text leaks, by item_id."""
     spark = docs.sparkSession
