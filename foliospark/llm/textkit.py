@@ -59,7 +59,7 @@ def as_texts(column: pa.Array | pa.ChunkedArray) -> Texts:
     return Texts(whole[at[0] : at[-1]], at - at[0])
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, Texts]]:
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, Texts]]:
     """Cuts batches by rows into slices of at most ``limit`` bytes of text, or one row."""
     for batch in batches:
         texts = as_texts(batch.column(text))
@@ -84,7 +84,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n + 1:
-        size = max(n + 1, 2 * len(_powers[0]))
+        size = (n >> 18) + 1 << 18
         for k, base in enumerate((_BASE, _BASE_INV)):
             p = np.full(size, base, np.uint64)
             p[0] = 1

@@ -15,7 +15,7 @@ import numpy as np
 from foliospark.llm.textkit import Texts, words
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-KEPT_WORDS = 1 << 20
+KEPT_WORDS, ENCODED_WORDS = 1 << 20, 1 << 13
 VOCABULARY = "word_bpe_49k.json"
 END = 2
 
@@ -40,7 +40,8 @@ class Encoder:
     def _learn(self, keys: np.ndarray, values: list[str]) -> None:
         if len(self.keys) + len(keys) > max(KEPT_WORDS, len(keys)):
             raise OverflowError
-        found = [e.ids for e in self.tokenizer.encode_batch(values, add_special_tokens=False)]
+        encode = self.tokenizer.encode_batch_fast  # in parts: an encoding is far larger than its ids
+        found = [e.ids for i in range(0, len(values), ENCODED_WORDS) for e in encode(values[i : i + ENCODED_WORDS], add_special_tokens=False)]
         size = np.array([len(x) for x in found], np.int32)
         flat = np.array([i for x in found for i in x], np.int32)
         if self.used + len(flat) > len(self.ids):
