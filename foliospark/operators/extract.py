@@ -64,11 +64,8 @@ def parse_pages(pdfs: DataFrame, pages: list[int] | None = None) -> DataFrame:
                 except (PdfError, RecursionError) as e:
                     rows = [{"page": None, "box": None, "rotation": None, "input": None, "error": str(e) or type(e).__name__}]
                 if rows:
-                    names = [f.split()[0] for f in INPUT.replace(BOX, "box").split(", ")]
-                    schema = _INPUT_TYPES
-                    out = pa.Table.from_pylist(rows, schema=schema).to_batches()
-                    for b in out:
-                        yield pa.RecordBatch.from_arrays([pa.array([ids[i].as_py()] * b.num_rows, ids.type), *b.columns], names=["doc_id", *names])
+                    for b in pa.Table.from_pylist(rows, schema=_INPUT_TYPES).to_batches():
+                        yield pa.RecordBatch.from_arrays([pa.array([ids[i].as_py()] * b.num_rows, ids.type), *b.columns], names=["doc_id", *_INPUT_TYPES.names])
 
     return pdfs.select("doc_id", "content").mapInArrow(parsed, f"doc_id {kind}, {INPUT}")
 
@@ -126,9 +123,9 @@ def interpret_pages(parsed: DataFrame) -> DataFrame:
     prepare(parsed.sparkSession, BATCH_ROWS)
     kind = parsed.schema["doc_id"].dataType.simpleString()
     ddl = f"doc_id {kind}, {PAGE}"
+    schema = _arrow(ddl)
 
     def worked(batches):
-        schema = _arrow(ddl)
         for batch in batches:
             rows = []
             for row in batch.to_pylist():
@@ -158,9 +155,9 @@ def glyphs(parsed: DataFrame) -> DataFrame:
 
     kind = parsed.schema["doc_id"].dataType.simpleString()
     ddl = f"doc_id {kind}, {GLYPH}"
+    schema = _arrow(ddl)
 
     def told(batches):
-        schema = _arrow(ddl)
         for batch in batches:
             for row in batch.to_pylist():
                 if row["input"] is None:

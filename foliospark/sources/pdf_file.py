@@ -20,6 +20,8 @@ class PdfFile:
         #: Object number to an offset, or (object stream, index).
         self.places: dict[int, int | tuple[int, int]] = {}
         self.trailer: dict = {}
+        #: Whether the tables were of no use and the objects were found by a scan.
+        self.repaired = False
         self._objects: dict[int, Any] = {}
         self._packed: dict[int, list] = {}
         try:
@@ -27,6 +29,7 @@ class PdfFile:
         except (PdfError, ValueError, IndexError, KeyError, TypeError, AttributeError):
             self.places, self.trailer = {}, {}
         if "Root" not in self.trailer or not isinstance(self.get(self.trailer["Root"]), dict):
+            self.repaired = True
             self._scan()
         if "Encrypt" in self.trailer:
             raise PdfError("the file is encrypted")

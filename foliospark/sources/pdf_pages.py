@@ -7,7 +7,7 @@ from typing import Any, NamedTuple
 
 from foliospark.sources.pdf_file import PdfFile
 from foliospark.sources.pdf_filters import IMAGE_FILTERS
-from foliospark.sources.pdf_syntax import Name, Ref, Stream
+from foliospark.sources.pdf_syntax import Name, PdfError, Ref, Stream
 
 A4 = (0.0, 0.0, 595.276, 841.89)
 MAX_PARENTS, MAX_FORMS, MAX_STRUCTURE = 64, 8, 64
@@ -122,6 +122,8 @@ class PdfPages:
         self._number: dict[int, int] = {}
         root = self.file.get(self.file.trailer["Root"])
         self._walk(root.get("Pages"), set(), 0)
+        if self.file.repaired and not self._nodes:
+            raise PdfError("a damaged file without pages")
         self.pages = [self._info(i) for i in range(len(self._nodes))]
         self.catalog = root
 
