@@ -7,38 +7,39 @@ from unicodedata import normalize
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliospark.functions import characters as ch
 from foliospark.functions.bidi import is_rtl, reorder
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or t.isascii() else normalize("NFKC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def bidi_reorder(text: pd.Series, rtl: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else reorder(t, bool(r)) for t, r in zip(text, rtl, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def logical_text(visual: pd.Series) -> pd.Series:
     """Visual order to clean logical text: digits unified, reordered, then normalised."""
     return visual.map(lambda t: None if t is None else ch.finish(reorder(ch.unify_digits(t), is_rtl(t))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unify_digits(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else ch.unify_digits(t))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def is_mark(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else ch.is_mark(t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def merge_overlay(host: pd.Series, overlay: pd.Series) -> pd.Series:
     """The host with the composed letter of an overlay; null where that is ambiguous."""
 
@@ -49,7 +50,7 @@ def merge_overlay(host: pd.Series, overlay: pd.Series) -> pd.Series:
     return pd.Series([one(h, o) for h, o in zip(host, overlay, strict=True)], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def glyph_name_text(name: pd.Series) -> pd.Series:
     from foliospark.functions.glyph_names import glyph_name_text as text
 

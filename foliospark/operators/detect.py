@@ -19,26 +19,32 @@ def image_coverage(boxes: Column, page: Column) -> Column:
     return F.when(C.area(page) > 0, F.least(covered / C.area(page), F.lit(1.0))).otherwise(0.0)
 
 
-def signals(pages: DataFrame) -> DataFrame:
-    """The eleven measures of each readable page."""
-    text = F.array_join(F.transform("lines", lambda x: x["text"]), "")
+def _measures() -> dict[str, Column]:
     total = lambda field: F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + x[field])
-    some = pages.where("error IS NULL").withColumn("_text", text)
-    return some.select(
-        "doc_id",
-        "page",
-        F.col("n_glyphs").alias("glyph_count"),
-        total("unresolved").alias("unresolved"),
-        F.size("fonts").cast("long").alias("font_count"),
-        F.size(F.filter("fonts", lambda f: ~f["resolvable"])).cast("long").alias("unmappable_fonts"),
-        F.col("n_invisible").alias("invisible_glyphs"),
-        C.presentation_forms("_text").alias("residual_presentation_forms"),
-        C.replacement_characters("_text").alias("replacement_chars"),
-        F.length("_text").cast("long").alias("text_len"),
-        C.visible_length("_text").alias("visible_text_len"),
-        C.mixed_separators("_text").alias("mixed_digit_separators"),
-        image_coverage(F.col("image_boxes"), F.col("box")).alias("image_coverage"),
-    )
+    return {
+        "glyph_count": F.col("n_glyphs"),
+        "unresolved": total("unresolved"),
+        "font_count": F.size("fonts").cast("long"),
+        "unmappable_fonts": F.size(F.filter("fonts", lambda f: ~f["resolvable"])).cast("long"),
+        "invisible_glyphs": F.col("n_invisible"),
+        "residual_presentation_forms": C.presentation_forms("_text"),
+        "replacement_chars": C.replacement_characters("_text"),
+        "text_len": F.length("_text").cast("long"),
+        "visible_text_len": C.visible_length("_text"),
+        "mixed_digit_separators": C.mixed_separators("_text"),
+        "image_coverage": image_coverage(F.col("image_boxes"), F.col("box")),
+    }
+
+
+def measured(pages: DataFrame) -> DataFrame:
+    """The readable pages with their eleven signals; a page's text is its lines without separators."""
+    text = F.array_join(F.transform("lines", lambda x: x["text"]), "")
+    return pages.where("error IS NULL").withColumn("_text", text).withColumns(_measures()).drop("_text")
+
+
+def signals(pages: DataFrame) -> DataFrame:
+    """(doc_id, page) and the eleven signals of each readable page."""
+    return measured(pages).select("doc_id", "page", *_measures())
 
 
 def resolution_rate() -> Column:
@@ -88,6 +94,11 @@ def verdicts(signals: DataFrame, p: Params = PARAMS) -> DataFrame:
     return out.withColumns({"confidence": F.when(F.col("rank") == NEEDS_OCR, 0.0).otherwise(score), "reasons": F.when(blank, first).otherwise(reasons)})
 
 
+def judged(pages: DataFrame, p: Params = PARAMS) -> DataFrame:
+    """The readable pages with signals, rank, verdict, confidence and reasons, in the same pass."""
+    return verdicts(measured(pages), p)
+
+
 def assess(pages: DataFrame, p: Params = PARAMS) -> DataFrame:
-    """Signals and verdict of every page."""
-    return verdicts(signals(pages), p)
+    """Signals and verdict of every readable page."""
+    return judged(pages, p).select("doc_id", "page", *_measures(), "rank", "verdict", "confidence", "reasons")

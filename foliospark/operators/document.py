@@ -21,26 +21,29 @@ def block_text(pages: DataFrame) -> DataFrame:
     return rows.select("doc_id", "page", "b.*")
 
 
-def page_text(pages: DataFrame) -> DataFrame:
-    """(doc_id, page, text) of every readable page, whatever its verdict."""
+def _own_text() -> Column:
     own = lambda b: F.array_join(F.transform(F.filter("lines", lambda x: x["block"] == b["seq"]), lambda x: x["text"]), "\n")
     table = lambda b: F.array_join(F.transform(b["cells"], lambda row: F.array_join(F.transform(row, lambda c: c["text"]), "\t")), "\n")
     texts = F.transform("blocks", lambda b: F.when(b["kind"] == "text", own(b)).when(b["kind"] == "table", table(b)).otherwise(""))
-    return pages.where("error IS NULL").select("doc_id", "page", F.array_join(F.filter(texts, lambda t: t != ""), "\n").alias("text"))
+    return F.array_join(F.filter(texts, lambda t: t != ""), "\n")
+
+
+def page_text(pages: DataFrame) -> DataFrame:
+    """(doc_id, page, text) of every readable page, whatever its verdict."""
+    return pages.where("error IS NULL").select("doc_id", "page", _own_text().alias("text"))
 
 
-def document_text(pages: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """(doc_id, text): pages that don't need OCR and aren't empty, a blank line apart."""
-    rows = page_text(pages).join(verdicts.select("doc_id", "page", "verdict"), ["doc_id", "page"])
+def document_text(judged: DataFrame) -> DataFrame:
+    """(doc_id, text) of judged pages: those that don't need OCR and aren't empty, a blank line apart."""
+    rows = judged.select("doc_id", "page", "verdict", _own_text().alias("text"))
     kept = F.when((F.col("verdict") != "needs_ocr") & (F.col("text") != ""), F.struct(F.col("page").alias("at"), "text"))
     return rows.groupBy("doc_id").agg(_joined(F.collect_list(kept), "\n\n").alias("text"))
 
 
-def document_report(pages: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """(doc_id, page_count, confidence, pages_needing_ocr, tagged_pages)."""
-    rows = pages.where("error IS NULL").select("doc_id", "page", "tagged").join(verdicts.select("doc_id", "page", "verdict", "confidence"), ["doc_id", "page"])
+def document_report(judged: DataFrame) -> DataFrame:
+    """(doc_id, page_count, confidence, pages_needing_ocr, tagged_pages) of judged pages."""
     pages_where = lambda condition: F.sort_array(F.collect_list(F.when(condition, F.col("page"))))
-    return rows.groupBy("doc_id").agg(
+    return judged.groupBy("doc_id").agg(
         F.count("*").alias("page_count"),
         F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("confidence"),
         pages_where(F.col("verdict") == "needs_ocr").alias("pages_needing_ocr"),
@@ -49,6 +52,7 @@ def document_report(pages: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def verdict_tally(verdicts: DataFrame, *by: str) -> DataFrame:
+    """Pages by verdict and by any other columns."""
     return verdicts.groupBy(*by, "verdict").agg(F.count("*").alias("pages"))
 
 

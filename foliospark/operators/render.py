@@ -83,10 +83,11 @@ def block_html(pages: DataFrame, images: bool = True, color: bool = True) -> Dat
     return rows.select("doc_id", "page", F.col("b.seq").alias("seq"), html.alias("html"))
 
 
-def document_html(pages: DataFrame, verdicts: DataFrame, title: str = "Extracted document", images: bool = True, color: bool = True) -> DataFrame:
-    """(doc_id, html): a section for each page, with a notice where a page needs OCR."""
-    blocks = block_html(pages, images, color).groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "html"))), lambda x: x["html"]), "").alias("body"))
-    rows = verdicts.select("doc_id", "page", "verdict", "confidence", "reasons").join(blocks, ["doc_id", "page"], "left")
+def document_html(judged: DataFrame, title: str = "Extracted document", images: bool = True, color: bool = True) -> DataFrame:
+    """(doc_id, html) of judged pages: a section for each, with a notice where it needs OCR. The pages
+    are gone through three times (sizes, direction, blocks), so keep them (persist or store) first."""
+    blocks = block_html(judged, images, color).groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "html"))), lambda x: x["html"]), "").alias("body"))
+    rows = judged.select("doc_id", "page", "verdict", "confidence", "reasons").join(blocks, ["doc_id", "page"], "left")
     reason = F.concat(F.lit(" ("), C.escape_html(F.get("reasons", F.lit(0))), F.lit(")"))
     notice = F.when(F.col("verdict") == "needs_ocr", F.concat(F.lit('<p class="needs-ocr">No text layer on this page — it needs OCR.'), F.coalesce(reason, F.lit("")), F.lit("</p>\n"))).otherwise("")
     number = F.col("page").cast("string")
@@ -95,7 +96,7 @@ def document_html(pages: DataFrame, verdicts: DataFrame, title: str = "Extracted
         notice, F.coalesce("body", F.lit("")), F.lit("</section>\n"),
     )
     whole = rows.select("doc_id", "page", section.alias("html")).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "html"))), lambda x: x["html"]), "").alias("body"))
-    whole = whole.join(document_direction(lines_of(pages)), "doc_id", "left").withColumn("rtl", F.coalesce("rtl", F.lit(False)))
+    whole = whole.join(document_direction(lines_of(judged)), "doc_id", "left").withColumn("rtl", F.coalesce("rtl", F.lit(False)))
     head = F.concat(
         F.lit('<!DOCTYPE html>\n<html lang="'), F.when(F.col("rtl"), "ar").otherwise("en"), F.lit('" dir="'), F.when(F.col("rtl"), "rtl").otherwise("ltr"),
         F.lit('">\n<head>\n<meta charset="utf-8">\n<meta name="viewport" content="width=device-width, initial-scale=1">\n<title>'), C.escape_html(F.lit(title)),
@@ -104,8 +105,8 @@ def document_html(pages: DataFrame, verdicts: DataFrame, title: str = "Extracted
     return whole.select("doc_id", F.concat(head, "body", F.lit("</body>\n</html>\n")).alias("html"))
 
 
-def document_json(pages: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """(doc_id, json): pages with their blocks; null boxes and reasons are left out, image bytes too."""
+def document_json(judged: DataFrame) -> DataFrame:
+    """(doc_id, json) of judged pages: pages with their blocks; null boxes and reasons are left out, image bytes too."""
     box = lambda x: F.when(x["x0"].isNotNull(), F.array(x["x0"], x["y0"], x["x1"], x["y1"]))
     side = lambda rtl: F.when(rtl, "rtl").otherwise("ltr")
     hex_ = lambda c: C.css_hex(C.rgb8(c["space"], c["parts"]))
@@ -134,12 +135,11 @@ def document_json(pages: DataFrame, verdicts: DataFrame) -> DataFrame:
         only(is_image(b), b["picture"]["background"]).alias("is_background"),
         b["picture"]["reason"].alias("unsupported_reason"),
     )
-    joined = pages.where("error IS NULL").join(verdicts.select("doc_id", "page", "verdict", "confidence", "reasons"), ["doc_id", "page"])
     page = F.struct(
         F.col("page").alias("number"), (F.col("box.x1") - F.col("box.x0")).alias("width"), (F.col("box.y1") - F.col("box.y0")).alias("height"), "rotation", "verdict", "confidence", "reasons", "tagged",
         F.transform("blocks", block).alias("blocks"),
     )
     told = F.to_json("told", {"pretty": "true", "ignoreNullFields": "true"})
-    whole = joined.select("doc_id", "page", page.alias("told")).groupBy("doc_id").agg(F.collect_list(F.struct("page", told.alias("json"))).alias("pages"))
+    whole = judged.select("doc_id", "page", page.alias("told")).groupBy("doc_id").agg(F.collect_list(F.struct("page", told.alias("json"))).alias("pages"))
     parts = F.array_join(F.transform(F.array_sort("pages"), lambda x: x["json"]), ",\n")
     return whole.select("doc_id", F.concat(F.lit('{\n  "page_count" : '), F.size("pages").cast("string"), F.lit(',\n  "pages" : [ '), parts, F.lit(" ]\n}")).alias("json"))

@@ -41,8 +41,7 @@ WITH ln AS (
 
 
 def extract_text_by_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = document_pages(spark, sf_dir)
-    return document.document_text(pages, detect.assess(pages))
+    return document.document_text(detect.judged(document_pages(spark, sf_dir)))
 
 
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,8 +65,7 @@ def verdict_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = document_pages(spark, sf_dir)
-    out = document.document_report(pages, detect.assess(pages))
+    out = document.document_report(detect.judged(document_pages(spark, sf_dir)))
     listed = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
     return out.select("doc_id", "page_count", F.round("confidence", 6).alias("confidence"), listed("pages_needing_ocr"), listed("tagged_pages"))
 
@@ -114,19 +112,17 @@ def doc_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = document_pages(spark, sf_dir)
+    pages = document_pages(spark, sf_dir).persist()
     text = document.block_text(pages).where("kind = 'text'").select("doc_id", "page", "seq")
     return render.block_html(pages).join(text, ["doc_id", "page", "seq"]).groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "html"))), lambda x: x["html"]), "").alias("html"))
 
 
 def html_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = document_pages(spark, sf_dir)
-    return render.document_html(pages, detect.assess(pages))
+    return render.document_html(detect.judged(document_pages(spark, sf_dir)).persist())
 
 
 def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = document_pages(spark, sf_dir)
-    return render.document_json(pages, detect.assess(pages))
+    return render.document_json(detect.judged(document_pages(spark, sf_dir)))
 
 
 def json_page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
