@@ -96,7 +96,7 @@ def visible_area(box: Column, page: Column) -> Column:
     zero = F.lit(0.0)
     w = F.greatest(F.least(box["x1"], page["x1"]) - F.greatest(box["x0"], page["x0"]), zero)
     h = F.greatest(F.least(box["y1"], page["y1"]) - F.greatest(box["y0"], page["y0"]), zero)
-    return w * h
+    return F.when(box.isNotNull(), w * h)  # least and greatest pass over nulls
 
 
 def area(box: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.operators.detect import assess
 from foliospark.operators.extract import BATCH_ROWS, extract, parse_pages
-from foliospark.session import prepare, table
+from foliospark.session import prepare, spread, table
 
 
 def document_pdfs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +20,7 @@ def document_pdfs(spark: SparkSession, sf_dir: str) -> DataFrame:
             files = [document_pdf(i, t or "") for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(files, pa.binary())], names=["doc_id", "content"])
 
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(written, "doc_id long, content binary")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).mapInArrow(written, "doc_id long, content binary")
 
 
 def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,3 +40,10 @@ def prepare(spark: SparkSession, batch_rows: int = 1000) -> None:
     now = spark.conf.get(_BATCH_ROWS, None)
     if now is None or not 0 < int(now) <= batch_rows:
         spark.conf.set(_BATCH_ROWS, str(batch_rows))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over all cores where a few partitions hold them, for stages whose work for each
+    row is far larger than the row. Inputs of many partitions stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
