@@ -42,7 +42,7 @@ from foliospark.session import prepare, table
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 16, 6, 0.995
-NODE = 512
+NODE = 256
 ESTIMATE_MARGIN = 5.0
 _rng = np.random.default_rng(20240601)
 _FACTORS = _rng.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32) | np.uint32(1)
