@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-_TOKEN = re.compile(rb"%[^\n]*|<<|>>|<(?P<hex>[^<>]*)>?|(?P<open>\[)|(?P<close>\])|(?P<paren>\()|(?P<word>[^\x00\t\n\x0c\r ()<>\[\]{}/%]+)|.", re.DOTALL)
+_TOKEN = re.compile(rb"%[^\n]*|<<|>>|<(?P<hex>[^>]*)>?|(?P<open>\[)|(?P<close>\])|(?P<paren>\()|(?P<word>[^\x00\t\n\x0c\r ()<>\[\]{}/%]+)|.", re.DOTALL)
 
 
 def utf16(data: bytes) -> str:

@@ -230,7 +230,7 @@ SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'to_unicode' WHEN p_partkey %
     "image_spaces": """
 SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'gray' WHEN 1 THEN 'rgb' WHEN 2 THEN 'cmyk' WHEN 3 THEN 'indexed' WHEN 4 THEN CASE p_partkey % 5 WHEN 1 THEN 'gray' WHEN 3 THEN 'rgb' WHEN 4 THEN 'cmyk' ELSE 'other' END ELSE 'other' END AS space FROM part""",
     "cmap_texts": """
-WITH f AS (SELECT DISTINCT p_brand AS font_key FROM part), n AS (SELECT font_key, list_sum(list_transform(string_split(font_key, ''), lambda c: ord(c))) % 20 AS n FROM f)
+WITH f AS (SELECT DISTINCT p_brand AS font_key FROM part), n AS (SELECT font_key, list_sum(list_transform(string_split(font_key, ''), lambda c: ord(c)))::BIGINT % 20 AS n FROM f)
 SELECT font_key, n::BIGINT AS code, chr(1575) AS text FROM n UNION ALL SELECT font_key, (256 + unnest(range(n + 1)))::BIGINT AS code, chr((65 + unnest(range(n + 1)))::INT) AS text FROM n""",
     "used_codes": "SELECT DISTINCT l_suppkey % 9 AS font_key, l_partkey % 300 AS code FROM lineitem",
 }
