@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from foliospark.functions.layout import Boxes, upper_median
+from foliospark.functions.layout import Boxes, folded_rows, upper_median
 from foliospark.functions.lines import Line, Rect
 from foliospark.params import PARAMS, Params
 
@@ -119,11 +119,8 @@ class _Row:
 
 def _rows(b: Boxes, p: Params) -> list[_Row]:
     order = np.argsort(-b.y0, kind="stable")
-    starts, anchor = [], None
-    for k, (y, size) in enumerate(zip(b.y0[order].tolist(), b.size[order].tolist(), strict=True)):
-        if anchor is None or abs(anchor - y) > max(size * p.line_drift, p.least_drift):
-            starts.append(k)
-            anchor = y
+    most = np.maximum(b.size[order] * p.line_drift, p.least_drift)
+    starts = folded_rows(b.y0[order], most, np.zeros(len(order), int))
     rows = [_Row(b.take(part), float(b.y0[part[0]])) for part in np.split(order, starts[1:])] if len(order) else []
     out: list[_Row] = []
     for row in rows:  # a row that drifted apart is whole again if its halves lie side by side

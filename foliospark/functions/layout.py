@@ -34,6 +34,22 @@ def upper_median(x: np.ndarray, default: float) -> float:
     return float(np.sort(x)[len(x) // 2]) if len(x) else default
 
 
+def folded_rows(at: np.ndarray, most: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Where new rows begin in sorted positions: at a change of kind, and where a position is more than
+    ``most`` from the row's first. Equal neighbours go the same way, so only changes are looked at."""
+    if not len(at):
+        return np.zeros(0, int)
+    change = np.ones(len(at), bool)
+    change[1:] = ~((at[1:] == at[:-1]) & (most[1:] == most[:-1]) & (kind[1:] == kind[:-1]))
+    looked = np.flatnonzero(change)
+    begins, anchor, facing = [0], float(at[0]), kind[0]
+    for i, y, far, k in zip(looked.tolist(), at[looked].tolist(), most[looked].tolist(), kind[looked].tolist(), strict=True):
+        if k != facing or abs(y - anchor) > far:
+            begins.append(i)
+            anchor, facing = y, k
+    return np.array(begins)
+
+
 def widest_gap(low: np.ndarray, high: np.ndarray, least_side: float) -> tuple[float, float] | None:
     """(width, where it begins) of the widest stretch that no span covers, the first of equals; what
     lies on both sides must be ``least_side`` wide."""

@@ -15,7 +15,7 @@ from foliospark.functions import characters as ch
 from foliospark.functions.bidi import is_rtl, reorder
 from foliospark.functions.font_text import Font
 from foliospark.functions.interpreter import PageGlyphs, Style
-from foliospark.functions.layout import Boxes, segment, upper_median
+from foliospark.functions.layout import Boxes, folded_rows, segment, upper_median
 from foliospark.params import PARAMS, Params
 
 Rect = tuple[float, float, float, float]
@@ -113,20 +113,11 @@ class PlacedGlyphs:
         w, h = np.where(upright, page.advance, self.size), np.where(upright, self.size, page.advance)
         return Boxes(page.x, page.x + w, page.y - h * 0.25, page.y + h * 0.75, self.size)
 
-    def rows(self, ids: np.ndarray) -> list[list[int]]:
+    def rows(self, ids: np.ndarray) -> list[np.ndarray]:
         """Glyphs of each line, from the top; a line's drift is measured from its first glyph."""
-        if not len(ids):
-            return []
         ids = ids[np.lexsort((self.along[ids], -self.across[ids]))]
-        allowed = np.maximum(self.size * self.params.line_drift, self.params.least_drift)
-        out: list[list[int]] = []
-        anchor, facing = 0.0, -1
-        for i, across, turn, most in zip(ids.tolist(), self.across[ids].tolist(), self.page.turn[ids].tolist(), allowed[ids].tolist(), strict=True):
-            if not out or turn != facing or abs(across - anchor) > most:
-                out.append([])
-                anchor, facing = across, turn
-            out[-1].append(i)
-        return out
+        most = np.maximum(self.size[ids] * self.params.line_drift, self.params.least_drift)
+        return np.split(ids, folded_rows(self.across[ids], most, self.page.turn[ids])[1:]) if len(ids) else []
 
     def lines(self, ids: np.ndarray) -> list[Line]:
         return [line for row in self.rows(ids) if (line := self._line(row))]
@@ -138,21 +129,21 @@ class PlacedGlyphs:
         inside = (x >= box[0]) & (x <= box[2]) & (page.y >= box[1]) & (page.y <= box[3])
         return " ".join(line.text for line in self.lines(np.flatnonzero(inside)))
 
-    def _line(self, row: list[int]) -> Line | None:
-        ids = np.array(row)
+    def _line(self, ids: np.ndarray) -> Line | None:
         order = ids[np.argsort(self.along[ids], kind="stable")]
-        texts = [self.text[i] for i in order]
-        shown = "".join(t if t is not None else ch.LOST for t in texts)
+        texts = [self.text[i] for i in order.tolist()]
+        lost = None in texts
+        shown = "".join(ch.LOST if t is None else t for t in texts) if lost else "".join(texts)
         rtl = is_rtl(shown)
-        simple = not rtl and self.moves[order].all() and None not in texts and ch.LOST not in shown and not any(ch.is_mark(t) or not t for t in set(texts))
+        simple = not lost and not rtl and self.moves[order].all() and ch.LOST not in shown and not any(ch.is_mark(t) or not t for t in set(texts))
         visual, unresolved = self._plain(order, texts) if simple else self._pieces(order, texts, rtl)
         text = ch.finish(reorder(ch.unify_digits(visual), rtl))
         if not text:
             return None
-        return Line(text, float(self.page.y[row[0]]), self._box(order), rtl, self._style(row), unresolved, len(row))
+        return Line(text, float(self.page.y[ids[0]]), self._box(order), rtl, self._style(ids), unresolved, len(ids))
 
     def _gap_share(self, texts: list[str | None]) -> float:
-        painted = any(t and ch.all_white(t) for t in texts)
+        painted = any(t and ch.all_white(t) for t in set(texts))
         return self.params.word_gap if painted else self.params.word_gap_inferred
 
     def _plain(self, order: np.ndarray, texts: list[str]) -> tuple[str, int]:
@@ -215,9 +206,12 @@ class PlacedGlyphs:
             float(np.maximum(y + size * 0.75, y + ay).max()),
         )
 
-    def _style(self, row: list[int]) -> Style:
+    def _style(self, ids: np.ndarray) -> Style:
         """The style with which the most glyphs of the line go together, the first of equals."""
-        styles, index = self.page.styles, self.page.style[row].tolist()
+        styles = self.page.styles
+        if len(styles) == 1:
+            return styles[0]
+        index = self.page.style[ids].tolist()
         counts = {s: index.count(s) for s in dict.fromkeys(index)}
         weight = {s: sum(n for o, n in counts.items() if styles[o].merges(styles[s])) for s in counts}
         return styles[max(counts, key=weight.get)]

@@ -25,19 +25,19 @@ def group_lines(glyphs: DataFrame, p: Params = PARAMS, keys: tuple[str, ...] = K
 
     A fold over the page's glyphs in order: a line's drift is measured from its first glyph, so
     gaps between neighbours can't tell lines apart."""
-    row = F.struct((-F.col("across")).alias("down"), "along", "glyph_idx", "across", "turn", F.greatest(F.col("size") * p.line_drift, F.lit(p.least_drift)).alias("most"))
-    start = F.struct(F.lit(-1).alias("line"), F.lit(0.0).cast("double").alias("anchor"), F.lit(-1).cast("int").alias("turn"), F.array().cast("array<struct<glyph_idx:bigint,line:int>>").alias("out"))
+    row = F.struct((-F.col("across")).alias("down"), "along", F.col("glyph_idx").cast("bigint").alias("glyph_idx"), "across", F.col("turn").cast("int").alias("turn"), F.greatest(F.col("size") * p.line_drift, F.lit(p.least_drift)).alias("most"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0.0).cast("double").alias("anchor"), F.lit(-1).cast("int").alias("turn"), F.array().cast("array<int>").alias("begins"))
 
     def step(acc: Column, g: Column) -> Column:
-        fresh = (acc["line"] < 0) | (g["turn"] != acc["turn"]) | (F.abs(g["across"] - acc["anchor"]) > g["most"])
-        line = acc["line"] + fresh.cast("int")
-        told = F.array(F.struct(g["glyph_idx"].cast("bigint").alias("glyph_idx"), line.alias("line")))
-        return F.struct(
-            line.alias("line"), F.when(fresh, g["across"]).otherwise(acc["anchor"]).alias("anchor"), F.when(fresh, g["turn"]).otherwise(acc["turn"]).cast("int").alias("turn"), F.concat(acc["out"], told).alias("out")
+        fresh = (acc["at"] == 0) | (g["turn"] != acc["turn"]) | (F.abs(g["across"] - acc["anchor"]) > g["most"])
+        return F.struct(  # only the places where lines begin are kept, so a page's fold stays linear
+            (acc["at"] + 1).alias("at"), F.when(fresh, g["across"]).otherwise(acc["anchor"]).alias("anchor"), F.when(fresh, g["turn"]).otherwise(acc["turn"]).alias("turn"), F.when(fresh, F.concat(acc["begins"], F.array(acc["at"]))).otherwise(acc["begins"]).alias("begins")
         )
 
-    folded = glyphs.groupBy(*keys).agg(F.aggregate(F.array_sort(F.collect_list(row)), start, step)["out"].alias("_out"))
-    lines = folded.select(*keys, F.explode("_out").alias("_g")).select(*keys, "_g.glyph_idx", "_g.line")
+    pages = glyphs.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_all")).withColumn("_begins", F.aggregate("_all", start, step)["begins"])
+    lines = pages.select(*keys, "_begins", F.posexplode("_all").alias("_at", "_g"))
+    number = F.size(F.filter("_begins", lambda x: x <= F.col("_at"))) - 1
+    lines = lines.select(*keys, F.col("_g.glyph_idx").alias("glyph_idx"), number.alias("line"))
     return glyphs.join(lines, [*keys, "glyph_idx"])
 
 

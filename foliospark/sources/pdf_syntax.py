@@ -39,6 +39,8 @@ _TOKEN = re.compile(
     rb"|(?P<word>[^\x00\t\n\x0c\r ()<>\[\]{}/%]+)"
 )
 _REF = re.compile(rb"[\x00\t\n\x0c\r ]+(\d+)[\x00\t\n\x0c\r ]+R(?=[\x00\t\n\x0c\r ()<>\[\]{}/%]|$)")
+_NUMBERS = re.compile(rb"([\x00\t\n\x0c\r 0-9+.-]*)\]")
+_PLAIN = re.compile(rb"[+-]?(?:\d+\.?\d*|\.\d+)\Z")
 _STRING_PART = re.compile(rb"[^()\\]+")
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 _WORDS = {b"true": True, b"false": False, b"null": None}
@@ -101,6 +103,11 @@ class Reader:
 
     def _many(self, close: str) -> Any:
         items = []
+        if close == "]" and (m := _NUMBERS.match(self.data, self.at)):  # only numbers, as widths are
+            parts = m[1].replace(b"\x00", b" ").split()
+            if all(map(_PLAIN.match, parts)):
+                self.at = m.end()
+                return [single(p) if b"." in p else int(p) for p in parts]
         while (x := self.next()) is not _END:
             if isinstance(x, Keyword):
                 if x == close:
