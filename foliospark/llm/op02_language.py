@@ -2,8 +2,9 @@
 
 Bytes are embedded, filters of several widths slide over them, each filter's largest response
 in a window is kept, and a softmax layer turns these into languages. Trained in numpy on the
-driver (Adam on minibatches) from at most ROWS_PER_LANGUAGE labelled texts of each language,
-chosen by a hash of id and text, and at most WINDOWS_PER_TEXT windows of each.
+driver (Adam on minibatches) from at most ROWS_PER_LANGUAGE labelled texts of each of the
+MAX_LANGUAGES most frequent languages, chosen by a hash of id and text, and at most
+WINDOWS_PER_TEXT windows of each, evenly spread over it; only these windows are collected.
 
 Prediction covers every byte of every text: a text is cut into windows of WINDOW bytes (the
 last one padded), their log probabilities are averaged by bytes, and the average is
@@ -27,12 +28,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.textkit import Texts, as_texts, slices
+from foliospark.llm.textkit import Texts, slices
 from foliospark.session import prepare, table
 
 WINDOW, STRIDE, DIMS = 256, 2, 6
 WIDTHS, FILTERS = (2, 3, 4), 12
-ROWS_PER_LANGUAGE, WINDOWS_PER_TEXT = 300, 6
+ROWS_PER_LANGUAGE, WINDOWS_PER_TEXT, MAX_LANGUAGES = 300, 6, 200
 EPOCHS, BATCH, RATE = 8, 64, 0.01
 UNKNOWN = "und"
 _WIDE = max(WIDTHS)
@@ -82,7 +83,8 @@ def log_probabilities(net: Network, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(texts: list[str], labels: list[str], seed: int = 1) -> Network:
+def fit(x: np.ndarray, labels: list[str], seed: int = 1) -> Network:
+    """x: windows as rows of bytes; labels: the language of each."""
     languages = sorted(set(labels))
     rng = np.random.default_rng(seed)
     k = len(WIDTHS) * FILTERS
@@ -96,15 +98,8 @@ def fit(texts: list[str], labels: list[str], seed: int = 1) -> Network:
     )
     if len(languages) < 2:
         return net
-    x, size, owner = windows(as_texts(pa.array(texts, pa.string())))
-    y = np.array([languages.index(v) for v in labels])[owner]
-    order = rng.permutation(len(x))
-    place = np.empty(len(x), np.int64)  # rank of a window within its text, in random order
-    for_text = order[np.argsort(owner[order], kind="stable")]
-    counts = np.bincount(owner, minlength=len(texts))
-    place[for_text] = np.arange(len(x)) - np.repeat(np.cumsum(counts) - counts, counts)
-    keep = (place < WINDOWS_PER_TEXT) & (size >= 16)
-    x, y = x[keep], y[keep]
+    number = {v: i for i, v in enumerate(languages)}
+    y = np.array([number[v] for v in labels])
     share = 1 / np.maximum(np.bincount(y, minlength=len(languages)), 1)
     share = (share * len(y) / len(languages)).astype(np.float32)
     params = list(net[1:])
@@ -164,23 +159,38 @@ def predict(net: Network, texts: Texts) -> tuple[list[str], np.ndarray]:
     return names, np.where(some, p[np.arange(n), best], 0.0)
 
 
+def _some_windows(batches):
+    """At most WINDOWS_PER_TEXT windows of each text, from its first to its last."""
+    for batch, texts in slices(batches):
+        x, size, owner = windows(texts)
+        n = np.bincount(owner, minlength=batch.num_rows)
+        place = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+        step = np.maximum(n[owner], WINDOWS_PER_TEXT)
+        keep = (place * WINDOWS_PER_TEXT // step != (place - 1) * WINDOWS_PER_TEXT // step) & (size >= 16)
+        owner = pa.array(owner[keep])
+        yield pa.RecordBatch.from_arrays([batch.column(c).take(owner) for c in ("lang", "part")] + [pa.array([w.tobytes() for w in x[keep]], pa.binary())], names=["lang", "part", "bytes"])
+
+
 def train_language(docs: DataFrame, usable: Column, rows: int = ROWS_PER_LANGUAGE) -> Network:
     """Learns ``lang`` from the texts of ``docs`` (doc_id, text, lang) where ``usable`` holds."""
+    prepare(docs.sparkSession)
     good = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    totals = good.groupBy("lang").count().withColumn("rate", F.least(F.lit(1.0), F.lit(1.5 * rows) / F.col("count")))
+    totals = good.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
+    totals = totals.withColumn("rate", F.least(F.lit(1.0), F.lit(1.5 * rows) / F.col("count"))).select("lang", "rate")
     part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    some = good.join(F.broadcast(totals.select("lang", "rate")), "lang").where(part < F.col("rate")).select("lang", "text", part.alias("part"))
-    got = some.toArrow()
-    order = np.argsort(np.array(got.column("part")), kind="stable")
-    taken: dict[str, int] = {}
-    texts, labels = [], []
-    for i in order:
-        lang = got.column("lang")[int(i)].as_py()
-        if taken.setdefault(lang, 0) < rows:
-            taken[lang] += 1
-            texts.append(got.column("text")[int(i)].as_py())
-            labels.append(lang)
-    return fit(texts, labels)
+    some = good.join(F.broadcast(totals), "lang").where(part < F.col("rate")).select("lang", "text", part.alias("part"))
+    got = some.mapInArrow(_some_windows, "lang string, part double, bytes binary").toArrow()
+    part_of, lang_of = np.array(got.column("part"), float), got.column("lang").to_pylist()
+    taken: dict[str, set[float]] = {}
+    keep = []
+    for i in np.argsort(part_of, kind="stable").tolist():
+        own = taken.setdefault(lang_of[i], set())
+        if len(own) < rows or part_of[i] in own:
+            own.add(part_of[i])
+            keep.append(i)
+    raw = got.column("bytes").to_pylist()
+    x = np.frombuffer(b"".join(raw[i] for i in keep), np.uint8).reshape(-1, WINDOW)
+    return fit(x, [lang_of[i] for i in keep])
 
 
 def identify_language(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
