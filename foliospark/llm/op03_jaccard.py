@@ -256,7 +256,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     sketches, _ = stored(texts.mapInArrow(lambda b: _sketch(b, size), f"doc_id {kind}, text_hash long, set_id long, minima binary"), "sketches")
     sets, _ = stored(
-        sketches.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.min_by("text_hash", "doc_id").alias("text_hash"), F.max("minima").alias("minima")), "sets"
+        sketches.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.min_by("text_hash", F.struct(F.col("doc_id").isNull(), "doc_id")).alias("text_hash"), F.max("minima").alias("minima")), "sets"
     )
     labels = F.array(*(F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.substring("minima", 4 * DEPTH * t + 1, 4 * depth)).alias("node")) for t in range(TREES)))
     placed = sets.select("set_id", F.explode(labels).alias("at")).select("set_id", "at.tree", "at.node")

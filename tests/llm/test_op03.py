@@ -101,6 +101,9 @@ def test_empty_table_and_null_ids(spark):
     got = sorted(map(tuple, J.near_duplicates(df).collect()), key=str)
     assert got == sorted([(None, 7, 1, 2), (7, 7, 1, 2), (None, None, 0, 1), (8, 8, 0, 1)], key=str)
     assert J.near_duplicates(df.limit(0)).count() == 0
+    long = " ".join(map(str, range(80)))
+    df = spark.createDataFrame([(None, long), (None, long + " x"), (1, "y " + long), (2, "other words altogether here now")], "doc_id long, text string")
+    assert sorted((r["n_links"], r["class_id"]) for r in J.near_duplicates(df).collect()) == [(0, 2), (2, 1), (2, 1), (2, 1)]
 
 
 def test_components_of_a_chain(spark):
