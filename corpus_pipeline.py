@@ -22,7 +22,7 @@ from foliospark.llm.op06_decontaminate import find_leaks
 from foliospark.llm.op08_toxicity import machine_for, score_toxicity
 from foliospark.llm.op09_packing import pack_hierarchical
 from foliospark.llm.op10_secrets import redact_secrets
-from foliospark.llm.scratch import stored
+from foliospark.llm.scratch import dropped, stored
 from foliospark.session import table
 
 
@@ -62,7 +62,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs, _ = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, path = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before:
+            dropped(spark, before)
+        before = path
     return docs
