@@ -86,11 +86,14 @@ def _cut(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _pack(x: np.ndarray) -> bytes:
-    return x.astype("<u4" if len(x) == 0 or x.max() < 1 << 32 else "<u8").tobytes()
+    """A byte for each count, and eight more behind them all for each of 255 or more."""
+    return np.minimum(x, 255).astype(np.uint8).tobytes() + x[x >= 255].astype("<u8").tobytes()
 
 
 def _unpack(b: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(b, "<u4" if len(b) == 4 * n else "<u8").astype(np.int64)
+    out = np.frombuffer(b, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(b, "<u8", offset=n).astype(np.int64)
+    return out
 
 
 _ASKED = "block long, shard int, words binary, word_train binary, word_dev binary, pairs binary, pair_train binary, pair_dev binary"

@@ -101,3 +101,9 @@ def test_em_finds_the_mixture():
     cell = lambda bucket, pair, word: (bucket * M.LEVELS + pair) * M.LEVELS + word
     a, _ = M.fit_weights(np.array([cell(3, 1, 0), cell(3, 0, 3)]), np.array([75.0, 25.0]), 1000)
     assert a[3] == pytest.approx(0.75, abs=0.02)
+
+
+def test_counts_are_packed_without_loss():
+    for x in ([], [0, 1, 254], [255, 3, 256, 1 << 40, 0]):
+        x = np.array(x, np.int64)
+        assert (M._unpack(M._pack(x), len(x)) == x).all()
