@@ -184,3 +184,36 @@ def image_space(name: Column | str, icc_parts: Column | str) -> Column:
 
 def size_bucket(size: Column | str, p: Params = PARAMS) -> Column:
     return F.greatest(F.round(col(size) / p.size_bucket), F.lit(0)).cast("long")
+
+
+def along(turn: Column | str, x: Column | str, y: Column | str) -> Column:
+    """The coordinate in which text of this orientation advances."""
+    return F.when(col(turn) == 0, col(x)).when(col(turn) == 1, col(y)).when(col(turn) == 2, -col(x)).otherwise(-col(y))
+
+
+def across(turn: Column | str, x: Column | str, y: Column | str) -> Column:
+    """The coordinate in which lines of this orientation follow each other."""
+    return F.when(col(turn) == 0, col(y)).when(col(turn) == 1, -col(x)).when(col(turn) == 2, -col(y)).otherwise(col(x))
+
+
+def text_string(data: Column | str) -> Column:
+    """A PDF text string: UTF-16BE after its mark, else Latin-1."""
+    marked = F.expr("x'FEFF'")
+    return F.when(F.substring(col(data), 1, 2) == marked, F.decode(F.substring(col(data), 3, 1 << 30), "UTF-16BE")).otherwise(F.decode(col(data), "ISO-8859-1"))
+
+
+def resolution_rate(unresolved: Column | str, glyphs: Column | str) -> Column:
+    return F.when(col(glyphs) > 0, 1 - col(unresolved) / col(glyphs)).otherwise(1.0)
+
+
+def flatten_differences(items: Column | str) -> Column:
+    """(code, name) of an array of (code or null, name or null): a code sets the count, a name takes it;
+    codes over 255 only count."""
+    start = F.struct(F.lit(0).alias("code"), F.array().cast("array<struct<code:int,name:string>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        own = F.array(F.struct(acc["code"].alias("code"), x["name"].alias("name")))
+        code = F.when(x["name"].isNull(), F.greatest(x["code"], F.lit(0))).otherwise(acc["code"] + 1)
+        return F.struct(code.cast("int").alias("code"), F.when(x["name"].isNotNull() & (acc["code"] <= 255), F.concat(acc["out"], own)).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(col(items), start, step)["out"]

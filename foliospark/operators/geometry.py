@@ -91,6 +91,19 @@ def mark_hosts(glyphs: DataFrame, p: Params = PARAMS, keys: tuple[str, ...] = KE
     return near.groupBy(*keys, "glyph_idx").agg(F.min_by("h_across", F.struct(far, "h_idx")).alias("host_across"))
 
 
+def overlay_anchors(glyphs: DataFrame, p: Params = PARAMS, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """(keys, glyph_idx, along, across) of overlays: glyphs without advance that are no marks (is_mark) take
+    the anchors of the first glyph within the window of paint order in whose advance they lie, ends
+    excluded. Hosts move the pen and so are never moved themselves."""
+    moves = F.abs(F.col("advance")) >= F.col("size") * p.negligible_advance
+    loose = glyphs.where(~moves & ~F.col("is_mark")).select(*keys, F.col("glyph_idx"), F.col("along").alias("at"), F.col("across").alias("level"), "size")
+    hosts = glyphs.where(moves).select(*keys, F.col("glyph_idx").alias("h_idx"), "along", "across", "advance")
+    near = F.col("h_idx").between(F.col("glyph_idx") - p.overlay_window, F.col("glyph_idx") + p.overlay_window) & (F.abs(F.col("across") - F.col("level")) <= F.col("size"))
+    inside = (F.col("along") < F.col("at")) & (F.col("at") < F.col("along") + F.col("advance"))
+    hits = loose.join(hosts, list(keys)).where(near & inside)
+    return hits.groupBy(*keys, "glyph_idx").agg(F.min_by(F.struct("along", "across"), "h_idx").alias("host")).select(*keys, "glyph_idx", "host.*")
+
+
 def apply_actual_text(glyphs: DataFrame, spans: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Adds ``actual``: the text that a span (seq, start, end, text) states, on its first glyph, and an
     empty text on the others; of several spans the last closed wins."""

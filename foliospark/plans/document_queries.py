@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.operators import detect, document, extract, geometry, render
+from foliospark.functions import columns as C
+from foliospark.operators import detect, document, extract, render
 from foliospark.plans.inputs import document_pages, document_pdfs, parsed_documents
-from foliospark.session import table
+from foliospark.session import prepare, table
 from foliospark.synth import LEADING, LINES_PER_PAGE, SIZE, TOP
 
 #: Painted lines of each document, as the file writer lays them out, and what each page then is.
@@ -137,16 +139,68 @@ def parse_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(cut).groupBy("doc_id").agg(F.bool_or(F.col("error").isNotNull()).alias("failed"), F.count("page").alias("pages"))
 
 
+def block_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of blocks, and whether they are numbered without gaps."""
+    b = extract.blocks_of(document_pages(spark, sf_dir))
+    return b.groupBy("doc_id", "page").agg(F.count_if(F.col("kind") == "text") > 0, F.count_if(F.col("kind") == "image"), F.max("seq") + 1 == F.count("*")).toDF("doc_id", "page", "has_text", "images", "dense")
+
+
+def block_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of a page's blocks, joined in reading order."""
+    b = document.block_text(document_pages(spark, sf_dir)).where("text <> ''")
+    return b.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "\n").alias("text"))
+
+
+def line_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = extract.lines_of(document_pages(spark, sf_dir))
+    return lines.groupBy("doc_id", "page").agg(F.round(F.min(C.resolution_rate("unresolved", "glyphs")), 6).alias("lowest"), F.count("*").alias("lines"))
+
+
+def page_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second pages alone: the others are not interpreted."""
+    pages = extract.extract(document_pdfs(spark, sf_dir), [2], spread=True)
+    return document.page_text(pages)
+
+
+def image_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of 2 by 2 samples built from part numbers: what becomes of each."""
+    prepare(spark)
+
+    def told(batches):
+        from foliospark.functions.pictures import picture
+        from foliospark.sources.pdf_pages import RawImage
+
+        spaces, codecs = ("gray", "rgb", "cmyk", "indexed", "other"), ([], ["FlateDecode"], ["DCTDecode"], ["JPXDecode"], ["CCITTFaxDecode"], ["ASCII85Decode", "JBIG2Decode"])
+        for b in batches:
+            keys = b.column("p_partkey").to_pylist()
+            made = [picture(RawImage("Im", 2, 2, 1 if k % 7 == 0 else 8, spaces[k % 5], ("rgb", bytes(6)) if k % 2 else None, codecs[k % 6], bytes(k % 17), False)) for k in keys]
+            yield pa.RecordBatch.from_arrays([b.column("p_partkey"), pa.array([p.format for p in made], pa.string()), pa.array([p.reason for p in made], pa.string())], names=["p_partkey", "format", "reason"])
+
+    return table(spark, sf_dir, "part").select("p_partkey").mapInArrow(told, "p_partkey long, format string, reason string")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         extract_text_by_doc, page_texts, verdict_report, signals_per_page, verdict_reasons, doc_confidence, page_info, font_inventory, image_inventory,
         line_inventory, glyph_totals, block_confidences, heading_levels, doc_direction, html_blocks, html_documents, json_documents, json_page_counts, parse_errors,
+        block_inventory, block_texts, line_rates, page_lookup, image_reasons,
     )
 }
 
 _ESCAPED = "replace(replace(replace(replace(replace(TEXT, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;')"
 ORACLE_SQL = {
+    "block_inventory": LINES + "SELECT doc_id, page, NOT blank AS has_text, blank::BIGINT AS images, true AS dense FROM judged",
+    "block_texts": LINES + "SELECT doc_id, page, text FROM judged WHERE NOT blank",
+    "line_rates": LINES + "SELECT doc_id, page, round(min(1 - spoiled::INT / length(raw)), 6) AS lowest, count(*) AS lines FROM told WHERE doc_id % 10 <> 0 GROUP BY doc_id, page",
+    "page_lookup": LINES + "SELECT doc_id, page, CASE WHEN blank THEN '' ELSE text END AS text FROM judged WHERE page = 2",
+    "image_reasons": """
+WITH p AS (SELECT p_partkey, p_partkey % 7 = 0 AS one, p_partkey % 5 AS s, p_partkey % 6 AS f, p_partkey % 17 AS n, p_partkey % 2 = 1 AS pal FROM part),
+r AS (SELECT *, CASE WHEN f IN (2, 3) THEN NULL WHEN f = 4 THEN 'CCITTFaxDecode is not decoded' WHEN f = 5 THEN 'JBIG2Decode is not decoded' WHEN one THEN '1-bit samples are not yet unpacked'
+ WHEN s = 3 AND NOT pal THEN 'indexed image with no palette' WHEN s = 4 THEN 'unresolved colour space'
+ WHEN s = 0 AND n < 4 THEN 'truncated: ' || n || ' sample bytes for a 2x2 image needing 4' WHEN s = 1 AND n < 12 THEN 'truncated: ' || n || ' sample bytes for a 2x2 image needing 12'
+ WHEN s = 2 AND n < 16 THEN 'truncated: ' || n || ' sample bytes for a 2x2 CMYK image needing 16' WHEN s = 3 AND n < 4 THEN 'truncated: ' || n || ' index bytes for a 2x2 image' END AS reason FROM p)
+SELECT p_partkey, CASE WHEN reason IS NULL THEN CASE f WHEN 2 THEN 'jpg' WHEN 3 THEN 'jp2' ELSE 'png' END END AS format, reason FROM r""",
     "extract_text_by_doc": LINES + "SELECT doc_id, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY page) FILTER (WHERE NOT blank), '') AS text FROM judged GROUP BY doc_id",
     "page_texts": LINES + "SELECT doc_id, page, text FROM judged WHERE NOT blank",
     "verdict_report": LINES + "SELECT lang, verdict, count(*) AS pages, round(avg(confidence), 6) AS confidence FROM judged GROUP BY lang, verdict",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import columns as C
 from foliospark.operators import geometry as G
+from foliospark.operators import lines as L
 from foliospark.session import table
 
 LINE = ("doc_id", "page", "line")
@@ -192,9 +193,30 @@ def upper_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
+def overlay_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth item is an overlay without advance."""
+    loose = F.col("glyph_idx") % 4 == 0
+    rows = _glyphs(spark, sf_dir).withColumns({"is_mark": F.lit(False), "advance": F.when(loose, 0.0).otherwise(60.0)})
+    return G.overlay_anchors(rows).select("doc_id", "glyph_idx", "along", "across")
+
+
+def along_across(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn, x, y = F.col("n") % 4, (F.col("l_partkey") % 400).cast("double") + 1, (F.col("l_suppkey") % 90).cast("double") + 1
+    return items(spark, sf_dir).select("l_orderkey", "n", C.along(turn, x, y).alias("along"), C.across(turn, x, y).alias("across"))
+
+
+def lines_from_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order is a line of letters in key order; gaps between them begin words; one code in eleven is lost."""
+    rows = _glyphs(spark, sf_dir).withColumns(
+        {"y": F.lit(100.0), "x": F.col("glyph_idx") * 6.0 + F.floor(F.col("glyph_idx") / 3) * 3.0, "text": F.when(F.col("x") % 11 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("a")))}
+    )
+    return L.build_lines(rows).select("doc_id", "line", "text", "baseline", "x0", "y0", "x1", "y1", "rtl", "unresolved", "glyphs")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        overlay_anchors, along_across, lines_from_glyphs,
         line_grouping, line_bbox, word_gaps, dominant_style, mark_hosts, actual_text_overlay, glyphs_in_boxes, widest_gap, xy_cut_regions, reading_order_from_tags,
         tagged_glyph_order, rules_from_rects, image_placement, image_coverage, backgrounds, block_index, upper_medians,
     )
@@ -204,6 +226,15 @@ WITH """ + ITEMS + """, e AS (SELECT l_orderkey AS doc_id, n, sum(CASE WHEN n %
   CASE WHEN n % 3 = 0 THEN 'Span' ELSE 'P' END AS tag FROM li WHERE l_orderkey % 2 = 1)
 """
 ORACLE_SQL = {
+    "overlay_anchors": _GLYPHS
+    + """SELECT m.doc_id, m.glyph_idx, arg_min(h.x, h.glyph_idx)::DOUBLE AS along, arg_min(h.y, h.glyph_idx)::DOUBLE AS across FROM g m JOIN g h ON m.doc_id = h.doc_id AND m.glyph_idx % 4 = 0 AND h.glyph_idx % 4 <> 0
+ AND abs(h.glyph_idx - m.glyph_idx) <= 8 AND abs(h.y - m.y) <= 12 AND h.x < m.x AND m.x < h.x + 60 GROUP BY m.doc_id, m.glyph_idx""",
+    "along_across": "WITH " + ITEMS + """, v AS (SELECT l_orderkey, n, (l_partkey % 400 + 1)::DOUBLE AS x, (l_suppkey % 90 + 1)::DOUBLE AS y FROM li)
+SELECT l_orderkey, n, CASE n % 4 WHEN 0 THEN x WHEN 1 THEN y WHEN 2 THEN -x ELSE -y END AS along, CASE n % 4 WHEN 0 THEN y WHEN 1 THEN -x WHEN 2 THEN -y ELSE x END AS across FROM v""",
+    "lines_from_glyphs": _GLYPHS
+    + """, v AS (SELECT doc_id, glyph_idx AS n, glyph_idx * 6 + glyph_idx // 3 * 3 AS px, x % 11 = 0 AS lost FROM g)
+SELECT doc_id, 0 AS line, string_agg(CASE WHEN n % 3 = 0 AND n > 1 THEN ' ' ELSE '' END || CASE WHEN lost THEN chr(65533) ELSE 'a' END, '' ORDER BY n) AS text, 100::DOUBLE AS baseline, min(px)::DOUBLE AS x0, 97::DOUBLE AS y0,
+ max(px + 6)::DOUBLE AS x1, 109::DOUBLE AS y1, false AS rtl, count_if(lost)::INT AS unresolved, count(*)::INT AS glyphs FROM v GROUP BY doc_id""",
     "line_grouping": _GLYPHS + "SELECT doc_id, page, glyph_idx, line FROM ln",
     "line_bbox": _GLYPHS + "SELECT doc_id, page, line, min(x)::DOUBLE AS x0, min(y - 3)::DOUBLE AS y0, max(x + 6)::DOUBLE AS x1, max(y + 9)::DOUBLE AS y1 FROM ln GROUP BY doc_id, page, line",
     "word_gaps": _GLYPHS

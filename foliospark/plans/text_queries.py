@@ -160,16 +160,51 @@ def judge_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "rank", "verdict", F.round("confidence", 6).alias("confidence"), F.size("reasons").alias("n_reasons"))
 
 
+def mark_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks, marks on a space, presentation forms of marks, letters and letters with marks."""
+    prepare(spark)
+    kinds = F.array(*map(F.lit, ("\u064e", " \u0651\u064e", "\ufe76", "\u0628", "\u0628\u064e", "", "\u0301")))
+    return table(spark, sf_dir, "part").select("p_partkey", U.is_mark(F.get(kinds, (F.col("p_partkey") % 7).cast("int"))).alias("mark"))
+
+
+def hamza_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A composed overlay over hosts with one, two or no base letters, or composed already."""
+    prepare(spark)
+    hosts = F.array(*map(F.lit, ("\u0644\u0627", "\u0627\u0627", "\u0628", "\u0625", "\u0627")))
+    return table(spark, sf_dir, "part").select("p_partkey", U.merge_overlay(F.get(hosts, (F.col("p_partkey") % 5).cast("int")), F.lit("\u0625")).alias("text"))
+
+
+def text_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names as UTF-16 with a mark, or as Latin-1 bytes."""
+    wide = F.concat(F.expr("x'FEFF'"), F.encode(F.concat("p_name", F.lit(" \u0627")), "UTF-16BE"))
+    data = F.when(F.col("p_partkey") % 2 == 0, wide).otherwise(F.encode(F.concat("p_name", F.lit("\u00e9")), "ISO-8859-1"))
+    return table(spark, sf_dir, "part").select("p_partkey", C.text_string(data).alias("text"))
+
+
+def encoding_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's item numbers set the code, each followed by as many names as its tax says."""
+    one = lambda code, name: F.struct(code.cast("int").alias("code"), name.cast("string").alias("name"))
+    items = F.array(one(F.col("p_partkey") % 258, F.lit(None)), one(F.lit(None), F.lit("a")), one(F.lit(None), F.lit("b")), one(F.lit(7), F.lit(None)), one(F.lit(None), F.lit("c")))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.explode(C.flatten_differences(items)).alias("d"))
+    return rows.select("p_partkey", "d.*")
+
+
 _N = "event_id % 50 AS g, least(event_id % 50, event_id % 7 * (event_id % 3)) AS u, event_id % 61 AS len, greatest(event_id % 61 - 3, 0) AS vis, event_id % 5 / 4.0 AS cov"
 _digits = "٠١٢٣٤٥٦٧٨٩"
 QUERIES = {
     f.__name__: f
     for f in (
         bidi_nfkc_roundtrip, logical_lines, text_direction, page_direction, tidy_whitespace, strip_tatweel, strip_mark_bases, unify_digits, presentation_forms, stranded_marks,
-        extractor_scores, mixed_separators, html_escape, color_css, orientation, page_rotation, media_box, render_modes, judge_events,
+        extractor_scores, mixed_separators, html_escape, color_css, orientation, page_rotation, media_box, render_modes, judge_events, mark_glyphs, hamza_merge, text_strings, encoding_differences,
     )
 }
 ORACLE_SQL = {
+    "mark_glyphs": "SELECT p_partkey, p_partkey % 7 IN (0, 1, 2, 6) AS mark FROM part",
+    "hamza_merge": "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN chr(1604) || chr(1573) WHEN 3 THEN chr(1573) WHEN 4 THEN chr(1573) END AS text FROM part",
+    "text_strings": "SELECT p_partkey, p_name || CASE WHEN p_partkey % 2 = 0 THEN ' ' || chr(1575) ELSE chr(233) END AS text FROM part",
+    "encoding_differences": """
+WITH k AS (SELECT p_partkey, (p_partkey % 258)::INT AS c FROM part), d AS (SELECT p_partkey, c AS code, 'a' AS name FROM k UNION ALL SELECT p_partkey, c + 1, 'b' FROM k UNION ALL SELECT p_partkey, 7, 'c' FROM k)
+SELECT p_partkey, code::INT AS code, name FROM d WHERE code <= 255""",
     "bidi_nfkc_roundtrip": _TRANSLITERATED + "SELECT doc_id, logical AS text FROM t",
     "logical_lines": _TRANSLITERATED + "SELECT doc_id, logical AS text FROM t",
     "text_direction": "SELECT doc_id, doc_id % 3 = 0 AS rtl FROM documents WHERE regexp_matches(text, '[A-Za-z]')",
