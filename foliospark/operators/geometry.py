@@ -152,7 +152,7 @@ def xy_cut(items: DataFrame, p: Params = PARAMS, keys: tuple[str, ...] = KEYS) -
     import pyarrow as pa
 
     from foliospark.functions.layout import Boxes, segment
-    from foliospark.session import ship_package
+    from foliospark.session import dealt, ship_package
 
     ship_package(items.sparkSession)
 
@@ -166,7 +166,7 @@ def xy_cut(items: DataFrame, p: Params = PARAMS, keys: tuple[str, ...] = KEYS) -
         return pa.table({**{k: group.column(k).take(at) for k in keys}, "item": group.column("item").take(at), "region": pa.array(region, pa.int32())})
 
     kinds = {f.name: f.dataType.simpleString() for f in items.schema.fields}
-    return items.groupBy(*keys).applyInArrow(cut, ", ".join([f"{k} {kinds[k]}" for k in keys] + [f"item {kinds['item']}", "region int"]))
+    return dealt(items, *keys).groupBy(*keys).applyInArrow(cut, ", ".join([f"{k} {kinds[k]}" for k in keys] + [f"item {kinds['item']}", "region int"]))
 
 
 def number_blocks(blocks: DataFrame, *order: Column | str, keys: tuple[str, ...] = KEYS) -> DataFrame:

@@ -11,7 +11,7 @@ from foliospark.functions.grids import borderless_grids, ruled_grids
 from foliospark.functions.layout import Boxes
 from foliospark.operators.geometry import KEYS
 from foliospark.params import PARAMS, Params
-from foliospark.session import ship_package
+from foliospark.session import dealt, ship_package
 
 _GRID = "grid_id int, xs array<double>, ys array<double>, confidence double, ruled boolean"
 
@@ -35,7 +35,7 @@ def _grouped(rows: DataFrame, keys: tuple[str, ...], find) -> DataFrame:
             }
         )
 
-    return rows.groupBy(*keys).applyInArrow(told, ", ".join([f"{k} {kinds[k]}" for k in keys] + [_GRID]))
+    return dealt(rows, *keys).groupBy(*keys).applyInArrow(told, ", ".join([f"{k} {kinds[k]}" for k in keys] + [_GRID]))
 
 
 def find_ruled(rules: DataFrame, p: Params = PARAMS, keys: tuple[str, ...] = KEYS) -> DataFrame:

@@ -10,7 +10,7 @@ from foliospark.functions.interpreter import BLACK, PageGlyphs, Style
 from foliospark.functions.lines import PlacedGlyphs
 from foliospark.operators.geometry import KEYS
 from foliospark.params import PARAMS, Params
-from foliospark.session import ship_package
+from foliospark.session import dealt, ship_package
 
 _LINE = "line int, text string, baseline double, x0 double, y0 double, x1 double, y1 double, rtl boolean, unresolved int, glyphs int"
 
@@ -46,4 +46,4 @@ def build_lines(glyphs: DataFrame, p: Params = PARAMS, keys: tuple[str, ...] = K
         head = {k: pa.array([group.column(k)[0].as_py()] * len(rows), group.column(k).type) for k in keys}
         return pa.table(head | {n: pa.array([r[i] for r in rows], arrow[t]) for i, (n, t) in enumerate(zip(names, types, strict=True))})
 
-    return glyphs.groupBy(*keys).applyInArrow(built, ", ".join([f"{k} {kinds[k]}" for k in keys] + [_LINE]))
+    return dealt(glyphs, *keys).groupBy(*keys).applyInArrow(built, ", ".join([f"{k} {kinds[k]}" for k in keys] + [_LINE]))

@@ -47,3 +47,9 @@ def spread(df: DataFrame) -> DataFrame:
     row is far larger than the row. Inputs of many partitions stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys over the session's number of shuffle partitions. A later groupBy on the keys
+    needs no other exchange, and partitions that are small in bytes but long in work aren't merged."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
