@@ -54,9 +54,10 @@ RULES = (
     Rule("symbols", "10 * n_symbols > 2 * n_words"),
     Rule("long_words", "word_chars > 20 * n_words"),
     Rule("short_words", "word_chars < 2 * n_words"),
+    Rule("stuttering", "3 * n_stutters > n_words"),
     Rule("repeated_lines", "n_dup_lines > 3 AND 2 * n_dup_lines > n_text_lines"),
 )
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_text_lines", "n_repeat_words")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_text_lines", "n_stutters", "n_repeat_words")
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -94,6 +95,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_symbols": (F.octet_length("_text") - F.octet_length(bare)).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_text_lines": F.size("_lines").cast("long"),
+            "n_stutters": F.expr(_let("_words", "w", "size(filter(transform(w, (x, i) -> i > 0 AND x = w[i - 1]), b -> b))") + " + 0L"),
             "n_repeat_words": F.expr(_repeat_words()),
         }
     )
@@ -171,7 +173,8 @@ WITH d AS (
 ), m AS (
   SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
          length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
-         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls)::BIGINT AS n_text_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words
+         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls)::BIGINT AS n_text_lines,
+         len(list_filter(list_zip(ws[2:], ws[:len(ws) - 1]), lambda p: p[1] = p[2]))::BIGINT AS n_stutters, coalesce(cov.n, 0)::BIGINT AS n_repeat_words
   FROM d JOIN w USING (rid) LEFT JOIN cov USING (rid)
 )
 SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AS base_failed, NOT ({_ANY}) AS kept FROM m

@@ -26,7 +26,7 @@ def brute(text):
         if len(at) > 1:
             repeated |= {i + k for i in at for k in range(8)}
     lines = [x for x in text.split("\n") if words(x)]
-    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(lines), len(repeated)
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(lines), sum(a == b for a, b in zip(w, w[1:])), len(repeated)
 
 
 def texts():
@@ -48,8 +48,8 @@ def test_measures_equal_brute_force(spark):
     for r, t in zip(rows, values, strict=True):
         m = brute(t)
         assert tuple(r[c] for c in Q.MEASURES) == m
-        base = m[0] < 20 or 100 * m[5] > 30 * m[0]
-        bad = base or 10 * m[2] > 2 * m[0] or m[1] > 20 * m[0] or m[1] < 2 * m[0] or (m[3] > 3 and 2 * m[3] > m[4])
+        base = m[0] < 20 or 100 * m[6] > 30 * m[0]
+        bad = base or 10 * m[2] > 2 * m[0] or m[1] > 20 * m[0] or m[1] < 2 * m[0] or 3 * m[5] > m[0] or (m[3] > 3 and 2 * m[3] > m[4])
         assert r["base_failed"] == base and r["kept"] == (not bad) and (r["failed_rule"] is None) == (not bad)
     assert Q.quality_cascade(df.limit(0)).count() == 0
 
