@@ -35,8 +35,8 @@ from foliospark.session import prepare, table
 HASH_BITS, STEM = 18, 6
 #: Labelled rows at most that training sees.
 TRAIN_ROWS = 6000
-MIN_ROWS, MIN_Z, MAX_TERMS = 5, 4.0, 2048
-FACTORS, STEPS, RATE, DECAY = 4, 150, 0.05, 2e-4
+MIN_ROWS, MIN_Z, MAX_TERMS = 4, 4.0, 2048
+FACTORS, STEPS, RATE, DECAY = 4, 300, 0.1, 2e-5
 THRESHOLD = 0.7
 
 
