@@ -275,9 +275,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     dropped(spark, found_path)
     groups = connected_components(checked.where("set_id <> root").select(F.col("set_id").alias("a"), F.col("root").alias("b")))
     links = checked.groupBy("set_id").agg(F.sum("links").alias("links"))
-    named = sets.select("set_id", "first_doc", "copies").join(groups.withColumnRenamed("node", "set_id"), "set_id", "left").join(links, "set_id", "left")
-    firsts = named.where("component IS NOT NULL").groupBy("component").agg(F.min("first_doc").alias("class_doc"))
-    named = named.join(firsts, "component", "left").select("set_id", F.coalesce("class_doc", "first_doc").alias("class_doc"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    # Stored sides: a join straight over two tables can split a group or a set that holds many rows.
+    grouped = groups.withColumnRenamed("node", "set_id")
+    firsts, _ = stored(grouped.join(sets.select("set_id", "first_doc"), "set_id").groupBy("component").agg(F.min("first_doc").alias("class_doc")), "classes")
+    classes = grouped.join(firsts, "component").select("set_id", "class_doc")
+    named = sets.select("set_id", "first_doc", "copies").join(classes, "set_id", "left").join(links, "set_id", "left")
+    named, _ = stored(named.select("set_id", F.coalesce("class_doc", "first_doc").alias("class_doc"), "copies", F.coalesce("links", F.lit(0)).alias("links")), "named-sets")
     out = sketches.select("doc_id", "set_id").join(named, "set_id", "left")
     return out.select(
         "doc_id",
