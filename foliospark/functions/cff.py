@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import struct
+from string import ascii_lowercase, ascii_uppercase
 
-# The standard strings that precede a font's own, by number; only those that name
-# glyphs of text matter here, the others stay unknown.
-STANDARD_STRINGS = (
+# The standard strings that precede a font's own, in order, as far as they name
+# glyphs of text; the Latin letters stand where ``*A`` and ``*a`` do.
+_NAMES = (
     ".notdef space exclam quotedbl numbersign dollar percent ampersand quoteright parenleft parenright asterisk plus "
     "comma hyphen period slash zero one two three four five six seven eight nine colon semicolon less equal greater "
-    "question at A B C D E F G H I J K L M N O P Q R S T U V W X Y Z bracketleft backslash bracketright asciicircum "
-    "underscore quoteleft a b c d e f g h i j k l m n o p q r s t u v w x y z braceleft bar braceright asciitilde "
+    "question at *A bracketleft backslash bracketright asciicircum underscore quoteleft *a braceleft bar braceright asciitilde "
     "exclamdown cent sterling fraction yen florin section currency quotesingle quotedblleft guillemotleft guilsinglleft "
     "guilsinglright fi fl endash dagger daggerdbl periodcentered paragraph bullet quotesinglbase quotedblbase "
     "quotedblright guillemotright ellipsis perthousand questiondown grave acute circumflex tilde macron breve dotaccent "
@@ -22,7 +22,8 @@ STANDARD_STRINGS = (
     "Ydieresis Zcaron aacute acircumflex adieresis agrave aring atilde ccedilla eacute ecircumflex edieresis egrave "
     "iacute icircumflex idieresis igrave ntilde oacute ocircumflex odieresis ograve otilde scaron uacute ucircumflex "
     "udieresis ugrave yacute ydieresis zcaron"
-).split()
+)
+STANDARD_STRINGS = _NAMES.replace("*A", " ".join(ascii_uppercase)).replace("*a", " ".join(ascii_lowercase)).split()
 STANDARD_COUNT = 391
 
 
