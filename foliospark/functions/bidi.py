@@ -16,6 +16,8 @@ def is_rtl(text: str) -> bool:
 
 
 _PARAGRAPH = re.compile("[^\n\r\x1c-\x1e\x85\u2029]*[\n\r\x1c-\x1e\x85\u2029]|[^\n\r\x1c-\x1e\x85\u2029]+")
+#: A paragraph of right-to-left letters and spaces: at level 1 every rule leaves all of it at level 1.
+_ONE_LEVEL = re.compile(f"[ {''.join(c for c in map(chr, (*range(0x0590, 0x0900), *range(0xFB1D, 0xFF00))) if bidirectional(c) in ('R', 'AL'))}]+")
 _STRONG = {"L", "R", "AL"}
 _EMBED = {"LRE": (0, None), "RLE": (1, None), "LRO": (0, "L"), "RLO": (1, "R")}
 _ISOLATE = {"LRI", "RLI", "FSI"}
@@ -260,6 +262,9 @@ def reorder(text: str, rtl: bool) -> str:
         return text
     out = []
     for paragraph in _PARAGRAPH.findall(text):
+        if rtl and _ONE_LEVEL.fullmatch(paragraph):
+            out.append(paragraph[::-1])
+            continue
         levels, chars = levels_of(paragraph, int(rtl)), list(paragraph)
         order = list(range(len(chars)))
         odd = [x for x in levels if x % 2]

@@ -14,32 +14,33 @@ LATIN = "abcdefghijklmnopqrstuvwxyz"
 #: Arabic letters for Latin ones, and the presentation form of each letter in its word's middle or alone.
 ARABIC = "".join(chr(0x0627 + k) for k in (0, 1, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19, 26, 27, 28, 29, 30, 31, 32))
 FORMS = "".join(map(chr, (0xFE8D, 0xFE8F, 0xFE95, 0xFE99, 0xFE9D, 0xFEA1, 0xFEA5, 0xFEA9, 0xFEAB, 0xFEAD, 0xFEAF, 0xFEB1, 0xFEB5, 0xFEB9, 0xFEBD, 0xFEC1, 0xFEC5, 0xFEC9, 0xFECD, 0xFED1, 0xFED5, 0xFED9, 0xFEDD, 0xFEE1, 0xFEE5, 0xFEE9)))
-_letters = f"translate(lower(regexp_replace(substring(text, 1, 60), '[^A-Za-z ]', '')), '{LATIN}', '{ARABIC}')"
 
 
 def _transliterated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, logical, visual): the first words of each text in Arabic letters, and the same as a
-    page paints them, backwards and in presentation forms."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    latin = F.lower(F.regexp_replace(F.substring("text", 1, 60), "[^A-Za-z ]", ""))
-    rows = docs.select("doc_id", F.trim(F.regexp_replace(latin, " +", " ")).alias("latin")).where("latin <> ''")
-    return rows.select("doc_id", F.translate("latin", LATIN, ARABIC).alias("logical"), F.reverse(F.translate("latin", LATIN, FORMS)).alias("visual"))
+    """(doc_id, line, logical, visual): every line of each text in Arabic letters, and the same as a
+    page paints it, backwards and in presentation forms. A line without a letter is an empty one."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    latin = F.trim(F.regexp_replace(F.lower(F.regexp_replace("text", "[^A-Za-z ]", "")), " +", " "))
+    rows = lines.select("doc_id", "line", latin.alias("latin"))
+    return rows.select("doc_id", "line", F.translate("latin", LATIN, ARABIC).alias("logical"), F.reverse(F.translate("latin", LATIN, FORMS)).alias("visual"))
 
 
 _TRANSLITERATED = f"""
-WITH l AS (SELECT doc_id, trim(regexp_replace(lower(regexp_replace(substr(text, 1, 60), '[^A-Za-z ]', '', 'g')), ' +', ' ', 'g')) AS latin FROM documents),
-t AS (SELECT doc_id, translate(latin, '{LATIN}', '{ARABIC}') AS logical FROM l WHERE latin <> '')
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+x AS (SELECT doc_id, unnest(range(len(lines)))::INT AS line, unnest(lines) AS text FROM d),
+l AS (SELECT doc_id, line, trim(regexp_replace(lower(regexp_replace(text, '[^A-Za-z ]', '', 'g')), ' +', ' ', 'g')) AS latin FROM x),
+t AS (SELECT doc_id, line, translate(latin, '{LATIN}', '{ARABIC}') AS logical FROM l)
 """
 
 
 def bidi_nfkc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return _transliterated(spark, sf_dir).select("doc_id", U.normalize_nfkc(U.bidi_reorder("visual", C.is_rtl("visual"))).alias("text"))
+    return _transliterated(spark, sf_dir).select("doc_id", "line", U.normalize_nfkc(U.bidi_reorder("visual", C.is_rtl("visual"))).alias("text"))
 
 
 def logical_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return _transliterated(spark, sf_dir).select("doc_id", U.logical_text("visual").alias("text"))
+    return _transliterated(spark, sf_dir).select("doc_id", "line", U.logical_text("visual").alias("text"))
 
 
 def text_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,12 +64,12 @@ def strip_tatweel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars in every gap between letters go, those at word ends stay."""
     rows = _transliterated(spark, sf_dir)
     barred = F.regexp_replace(F.regexp_replace("logical", "(?<=[^ ])(?=[^ ])", "ــ"), " ", "ـ ")
-    return rows.select("doc_id", C.drop_joins(barred).alias("text"))
+    return rows.select("doc_id", "line", C.drop_joins(barred).alias("text"))
 
 
 def strip_mark_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _transliterated(spark, sf_dir)
-    return rows.select("doc_id", C.drop_mark_bases(F.regexp_replace("logical", " ", " َ ")).alias("text"))
+    return rows.select("doc_id", "line", C.drop_mark_bases(F.regexp_replace("logical", " ", " َ ")).alias("text"))
 
 
 def unify_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,12 +82,12 @@ def unify_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def presentation_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _transliterated(spark, sf_dir)
-    return rows.select("doc_id", C.presentation_forms("visual").alias("forms"), C.presentation_forms("logical").alias("left_over"))
+    return rows.select("doc_id", "line", C.presentation_forms("visual").alias("forms"), C.presentation_forms("logical").alias("left_over"))
 
 
 def stranded_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _transliterated(spark, sf_dir)
-    return rows.select("doc_id", C.stranded_marks(F.regexp_replace("logical", " ", " َ")).alias("stranded"), C.replacement_characters(F.regexp_replace("logical", " ", "�")).alias("lost"))
+    return rows.select("doc_id", "line", C.stranded_marks(F.regexp_replace("logical", " ", " َ")).alias("stranded"), C.replacement_characters(F.regexp_replace("logical", " ", "�")).alias("lost"))
 
 
 def extractor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,18 +206,18 @@ ORACLE_SQL = {
     "encoding_differences": """
 WITH k AS (SELECT p_partkey, (p_partkey % 258)::INT AS c FROM part), d AS (SELECT p_partkey, c AS code, 'a' AS name FROM k UNION ALL SELECT p_partkey, c + 1, 'b' FROM k UNION ALL SELECT p_partkey, 7, 'c' FROM k)
 SELECT p_partkey, code::INT AS code, name FROM d WHERE code <= 255""",
-    "bidi_nfkc_roundtrip": _TRANSLITERATED + "SELECT doc_id, logical AS text FROM t",
-    "logical_lines": _TRANSLITERATED + "SELECT doc_id, logical AS text FROM t",
+    "bidi_nfkc_roundtrip": _TRANSLITERATED + "SELECT doc_id, line, logical AS text FROM t",
+    "logical_lines": _TRANSLITERATED + "SELECT doc_id, line, logical AS text FROM t",
     "text_direction": "SELECT doc_id, doc_id % 3 = 0 AS rtl FROM documents WHERE regexp_matches(text, '[A-Za-z]')",
     "page_direction": "SELECT doc_id % 7 AS page, bool_or(doc_id % 3 = 0) AS rtl FROM documents WHERE regexp_matches(text, '[A-Za-z]') GROUP BY 1",
     "tidy_whitespace": "SELECT doc_id, trim(regexp_replace(replace(text, chr(10), ' '), ' +', ' ', 'g')) AS text FROM documents",
-    "strip_tatweel": _TRANSLITERATED + "SELECT doc_id, replace(logical, ' ', chr(1600) || ' ') AS text FROM t",
-    "strip_mark_bases": _TRANSLITERATED + "SELECT doc_id, replace(logical, ' ', chr(1614) || ' ') AS text FROM t",
+    "strip_tatweel": _TRANSLITERATED + "SELECT doc_id, line, replace(logical, ' ', chr(1600) || ' ') AS text FROM t",
+    "strip_mark_bases": _TRANSLITERATED + "SELECT doc_id, line, replace(logical, ' ', chr(1614) || ' ') AS text FROM t",
     "unify_digits": f"""SELECT o_orderkey, 'n ' || CASE WHEN length(o_orderkey::VARCHAR) = 1 THEN translate(o_orderkey::VARCHAR, '0123456789', '{_digits}') ELSE o_orderkey::VARCHAR END AS text FROM orders""",
-    "presentation_forms": _TRANSLITERATED + "SELECT doc_id, length(replace(logical, ' ', ''))::BIGINT AS forms, 0::BIGINT AS left_over FROM t",
-    "stranded_marks": _TRANSLITERATED + "SELECT doc_id, (length(logical) - length(replace(logical, ' ', '')))::BIGINT AS stranded, (length(logical) - length(replace(logical, ' ', '')))::BIGINT AS lost FROM t",
+    "presentation_forms": _TRANSLITERATED + "SELECT doc_id, line, length(replace(logical, ' ', ''))::BIGINT AS forms, 0::BIGINT AS left_over FROM t",
+    "stranded_marks": _TRANSLITERATED + "SELECT doc_id, line, (length(logical) - length(replace(logical, ' ', '')))::BIGINT AS stranded, (length(logical) - length(replace(logical, ' ', '')))::BIGINT AS lost FROM t",
     "extractor_scores": _TRANSLITERATED
-    + """SELECT how, sum(length(logical))::BIGINT AS chars, CASE how WHEN 'raw' THEN sum(length(replace(logical, ' ', ''))) ELSE 0 END::BIGINT AS forms, CASE how WHEN 'raw' THEN 0 ELSE count(*) END::BIGINT AS reversed
+    + """SELECT how, sum(length(logical))::BIGINT AS chars, CASE how WHEN 'raw' THEN sum(length(replace(logical, ' ', ''))) ELSE 0 END::BIGINT AS forms, CASE how WHEN 'raw' THEN count_if(logical = '') ELSE count(*) END::BIGINT AS reversed
  FROM t, (VALUES ('raw'), ('nfkc')) AS h(how) GROUP BY how""",
     "mixed_separators": "SELECT o_orderkey, o_orderkey % 2 = 1 AS mixed FROM orders",
     "html_escape": """SELECT doc_id, '&lt;b a=&#39;1&#39; c=&quot;2&quot;&gt;&amp;amp;' || replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;') || '&lt;/b&gt;' AS html FROM documents""",
