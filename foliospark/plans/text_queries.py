@@ -122,7 +122,7 @@ def color_css(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = (F.col("l_partkey") % 7 - 3).cast("double"), (F.col("l_suppkey") % 5 - 2).cast("double")
-    return table(spark, sf_dir, "lineitem").where((F.abs(a) != F.abs(b))).select("l_orderkey", "l_linenumber", C.quarter_turns(a, b).alias("turn"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", C.quarter_turns(a, b).alias("turn"))
 
 
 def page_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,7 +229,8 @@ v AS (SELECT l_orderkey, l_linenumber, CASE s WHEN 0 THEN a * 51 WHEN 1 THEN a *
 SELECT l_orderkey, l_linenumber, printf('#%02x%02x%02x', r, g, bl) AS css, (r + g + bl > 0 AND 2126 * r + 7152 * g + 722 * bl <= 2167500) AS shown FROM v""",
     "orientation": """
 WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey % 7 - 3 AS a, l_suppkey % 5 - 2 AS b FROM lineitem)
-SELECT l_orderkey, l_linenumber, CASE WHEN abs(a) > abs(b) THEN CASE WHEN a > 0 THEN 0 ELSE 2 END ELSE CASE WHEN b > 0 THEN 1 ELSE 3 END END AS turn FROM v WHERE abs(a) <> abs(b)""",
+SELECT l_orderkey, l_linenumber, CASE WHEN a = 0 AND b = 0 THEN 0 WHEN abs(a) > abs(b) THEN CASE WHEN a > 0 THEN 0 ELSE 2 END
+ WHEN abs(a) = abs(b) AND a < 0 THEN 2 WHEN b > 0 THEN 1 ELSE 3 END AS turn FROM v""",
     "page_rotation": """
 WITH v AS (SELECT o_orderkey, ((o_custkey % 25 * 45 - 540) % 360 + 360) % 360 AS t FROM orders) SELECT o_orderkey, CASE WHEN t IN (0, 90, 180, 270) THEN t ELSE 0 END::INT AS rotation FROM v""",
     "media_box": """
