@@ -1,7 +1,7 @@
 """From documents to packed training sequences, in five stages.
 
 toxicity        rows whose predicted toxicity reaches the threshold go
-near_duplicates one document of each group of near copies stays: the one with the smallest doc_id
+near_duplicates one row of each group of near copies stays: the one with the smallest doc_id
 decontamination rows that leak a benchmark item go
 secrets         secrets in the texts are masked; all rows stay, n_chars follows the text
 packing         texts become token ids, packed into sequences
@@ -14,10 +14,10 @@ so a lost executor costs a part of one stage. The last stage's rows are those of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.op03_jaccard import near_duplicates
+from foliospark.llm.op03_jaccard import row_classes
 from foliospark.llm.op06_decontaminate import find_leaks
 from foliospark.llm.op08_toxicity import machine_for, score_toxicity
 from foliospark.llm.op09_packing import pack_hierarchical
@@ -31,8 +31,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    later = near_duplicates(docs.select("doc_id", "text")).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    """Rows are told apart by doc_id and text; of equal rows the first by the other columns stays."""
+    named = docs.where("doc_id IS NOT NULL").withColumn("_hash", F.xxhash64("text"))
+    rows = row_classes(docs.select("doc_id", "text")).where("doc_id IS NOT NULL").select("doc_id", F.col("text_hash").alias("_hash"), "class_set")
+    firsts = rows.where("class_set IS NOT NULL").groupBy("class_set").agg(F.min(F.struct("doc_id", "_hash")).alias("first")).select("first.*", F.lit(True).alias("_once"))
+    wordless = rows.where("class_set IS NULL").select("doc_id", "_hash", F.lit(False).alias("_once")).distinct()
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    nth = F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy("doc_id", *others))
+    kept = named.join(firsts.unionByName(wordless), ["doc_id", "_hash"]).withColumn("_nth", nth).where("_nth = 1 OR NOT _once")
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -248,6 +248,12 @@ def _by_group(df: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, recall: float = RECALL) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text): doc_id, class_id, n_links, n_copies."""
+    return row_classes(docs, threshold, size, recall).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+def row_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, recall: float = RECALL) -> DataFrame:
+    """near_duplicates with text_hash, which with doc_id tells a row's text, and class_set, a number of
+    the class that other classes of the same class_id don't have; null for a text without a word."""
     spark = docs.sparkSession
     prepare(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -278,15 +284,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     # Stored sides: a join straight over two tables can split a group or a set that holds many rows.
     grouped = groups.withColumnRenamed("node", "set_id")
     firsts, _ = stored(grouped.join(sets.select("set_id", "first_doc"), "set_id").groupBy("component").agg(F.min("first_doc").alias("class_doc")), "classes")
-    classes = grouped.join(firsts, "component").select("set_id", "class_doc")
+    classes = grouped.join(firsts, "component").select("set_id", "class_doc", "component")
     named = sets.select("set_id", "first_doc", "copies").join(classes, "set_id", "left").join(links, "set_id", "left")
-    named, _ = stored(named.select("set_id", F.coalesce("class_doc", "first_doc").alias("class_doc"), "copies", F.coalesce("links", F.lit(0)).alias("links")), "named-sets")
-    out = sketches.select("doc_id", "set_id").join(named, "set_id", "left")
+    named, _ = stored(named.select("set_id", F.coalesce("class_doc", "first_doc").alias("class_doc"), F.coalesce("component", "set_id").alias("class_set"), "copies", F.coalesce("links", F.lit(0)).alias("links")), "named-sets")
+    out = sketches.select("doc_id", "text_hash", "set_id").join(named, "set_id", "left")
     return out.select(
         "doc_id",
         F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("class_doc")).alias("class_id"),
         F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
+        "text_hash",
+        "class_set",
     )
 
 
