@@ -46,12 +46,10 @@ def _base(spark: SparkSession, name: str = "WinAnsiEncoding") -> DataFrame:
 
 
 def base_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The printable ASCII part of the three base encodings, and Latin-1's letters of one."""
-    ascii_ = [F.col("code").between(32, 126), F.col("code").between(32, 126), F.col("code").between(32, 126)]
+    """The whole tables of the three base encodings."""
     out = None
-    for name, keep in zip(BASE, ascii_, strict=True):
-        keep = keep | (F.col("code") >= 0xA0) if name == "WinAnsiEncoding" else keep
-        rows = _base(spark, name).where(keep).select(F.lit(name).alias("encoding"), "code", "text")
+    for name in BASE:
+        rows = _base(spark, name).select(F.lit(name).alias("encoding"), "code", "text")
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -59,7 +57,7 @@ def base_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def encoding_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes through WinAnsi, with a known difference at multiples of 10 and an unknown one at those of 15."""
     codes = _codes(spark, sf_dir)
-    plain = F.array(*(F.struct(F.lit(c).alias("code"), F.lit(t).alias("text")) for c, t in BASE["WinAnsiEncoding"].items() if c <= 126))
+    plain = F.array(*(F.struct(F.lit(c).alias("code"), F.lit(t).alias("text")) for c, t in BASE["WinAnsiEncoding"].items()))
     base = codes.select("font_key").distinct().select("font_key", F.explode(plain).alias("b")).select("font_key", "b.*")
     n = F.col("code")
     differences = codes.where((n % 10 == 0) | (n % 15 == 0)).select("font_key", "code", F.when(n % 15 == 0, F.lit(None).cast("string")).otherwise("diff").alias("name_text"))
@@ -199,15 +197,31 @@ QUERIES = {
     )
 }
 _CODES = "WITH k AS (SELECT DISTINCT p_brand AS font_key, (p_partkey % 400)::INT AS code FROM part)"
+#: Code and code point where the code page differs from Latin-1, by the published code pages.
+_WINANSI_HIGH = """(128, 8364), (130, 8218), (131, 402), (132, 8222), (133, 8230), (134, 8224), (135, 8225), (136, 710), (137, 8240), (138, 352), (139, 8249), (140, 338), (142, 381), (145, 8216),
+(146, 8217), (147, 8220), (148, 8221), (149, 8226), (150, 8211), (151, 8212), (152, 732), (153, 8482), (154, 353), (155, 8250), (156, 339), (158, 382), (159, 376)"""
+_MACROMAN_HIGH = """(128, 196), (129, 197), (130, 199), (131, 201), (132, 209), (133, 214), (134, 220), (135, 225), (136, 224), (137, 226), (138, 228), (139, 227), (140, 229), (141, 231),
+(142, 233), (143, 232), (144, 234), (145, 235), (146, 237), (147, 236), (148, 238), (149, 239), (150, 241), (151, 243), (152, 242), (153, 244), (154, 246), (155, 245),
+(156, 250), (157, 249), (158, 251), (159, 252), (160, 8224), (161, 176), (162, 162), (163, 163), (164, 167), (165, 8226), (166, 182), (167, 223), (168, 174), (169, 169),
+(170, 8482), (171, 180), (172, 168), (173, 8800), (174, 198), (175, 216), (176, 8734), (177, 177), (178, 8804), (179, 8805), (180, 165), (181, 181), (182, 8706), (183, 8721),
+(184, 8719), (185, 960), (186, 8747), (187, 170), (188, 186), (189, 937), (190, 230), (191, 248), (192, 191), (193, 161), (194, 172), (195, 8730), (196, 402), (197, 8776),
+(198, 8710), (199, 171), (200, 187), (201, 8230), (202, 160), (203, 192), (204, 195), (205, 213), (206, 338), (207, 339), (208, 8211), (209, 8212), (210, 8220), (211, 8221),
+(212, 8216), (213, 8217), (214, 247), (215, 9674), (216, 255), (217, 376), (218, 8260), (219, 8364), (220, 8249), (221, 8250), (222, 64257), (223, 64258), (224, 8225), (225, 183),
+(226, 8218), (227, 8222), (228, 8240), (229, 194), (230, 202), (231, 193), (232, 203), (233, 200), (234, 205), (235, 206), (236, 207), (237, 204), (238, 211), (239, 212),
+(240, 63743), (241, 210), (242, 218), (243, 219), (244, 217), (245, 305), (246, 710), (247, 732), (248, 175), (249, 728), (250, 729), (251, 730), (252, 184), (253, 733),
+(254, 731), (255, 711)"""
 ORACLE_SQL = {
     "cmap_lookup": _CODES
     + """SELECT font_key, code, CASE WHEN code = 7 THEN 'lam' WHEN code = 120 THEN 'one' WHEN code BETWEEN 118 AND 121 THEN substr('pqrs', code - 117, 1) WHEN code BETWEEN 100 AND 149 THEN chr(65 + code - 100)
  WHEN code BETWEEN 140 AND 399 THEN 'x' || chr(1575 + code - 140) END AS mapped FROM k""",
     "cmap_size": "SELECT DISTINCT p_brand AS font_key, (2 + 8 + 50 + 260)::BIGINT AS codes FROM part",
-    "base_encodings": """SELECT e AS encoding, c::INT AS code, CASE WHEN e = 'StandardEncoding' AND c = 39 THEN chr(8217) WHEN e = 'StandardEncoding' AND c = 96 THEN chr(8216) ELSE chr(c::INT) END AS text
- FROM (VALUES ('WinAnsiEncoding'), ('MacRomanEncoding'), ('StandardEncoding')) v(e), range(32, 256) r(c) WHERE c <= 126 OR (c >= 160 AND e = 'WinAnsiEncoding')""",
+    "base_encodings": f"""
+SELECT e AS encoding, c::INT AS code, CASE WHEN e = 'StandardEncoding' AND c = 39 THEN chr(8217) WHEN e = 'StandardEncoding' AND c = 96 THEN chr(8216) ELSE chr(c::INT) END AS text
+ FROM (VALUES ('WinAnsiEncoding'), ('MacRomanEncoding'), ('StandardEncoding')) v(e), range(32, 256) r(c) WHERE c <= 126 OR (c >= 160 AND e = 'WinAnsiEncoding')
+UNION ALL SELECT 'WinAnsiEncoding', c, chr(p) FROM (VALUES {_WINANSI_HIGH}) w(c, p) UNION ALL SELECT 'MacRomanEncoding', c, chr(p) FROM (VALUES {_MACROMAN_HIGH}) m(c, p)""",
     "encoding_decode": _CODES
-    + "SELECT font_key, code, CASE WHEN code > 255 OR code % 15 = 0 THEN NULL WHEN code % 10 = 0 THEN 'diff' WHEN code BETWEEN 32 AND 126 THEN chr(code) END AS encoded FROM k",
+    + f"""SELECT font_key, code, CASE WHEN code > 255 OR code % 15 = 0 THEN NULL WHEN code % 10 = 0 THEN 'diff' WHEN code BETWEEN 32 AND 126 OR code BETWEEN 160 AND 255 THEN chr(code) ELSE chr(p) END AS encoded
+ FROM k LEFT JOIN (VALUES {_WINANSI_HIGH}) w(c, p) ON c = code""",
     "glyph_names": "SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 THEN chr((p_partkey % 500 + 65)::INT) || chr((p_partkey % 300 + 1000)::INT) END AS text FROM part",
     "glyph_of": _CODES + "SELECT font_key, code, CASE WHEN code < 300 AND code % 5 <> 0 THEN code + 3 END::INT AS gid FROM k",
     "prefer_forms": """
