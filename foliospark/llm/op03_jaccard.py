@@ -1,14 +1,15 @@
-"""N-gram Jaccard join: a MinHash LSH forest, then exact verification.
+"""N-gram Jaccard join: MinHash banding, then exact verification.
 
 Texts are sets of shingles of SHINGLE words (A-Z lower-cased; a text of fewer words is one
 shingle). Two texts are linked if the Jaccard similarity of their sets is THRESHOLD or more.
 
 1. Sketch: each text gets a 64-bit fingerprint of its set and TREES * DEPTH minima. Texts with
    equal sets are one *set* from here on, with a number of copies, so copies are never paired.
-2. Forest: each tree sorts sets by a label, its DEPTH minima in order; sets under one node of
-   depth d share the first d. The matched prefix is shortened from DEPTH until the recall at
-   the threshold, 1 - (1 - THRESHOLD^d)^TREES, reaches RECALL. The nodes of that depth are
-   grouped by their prefix's hash; nodes with a single set end here.
+2. Bands: each tree is a band of DEPTH minima; sets under one node share the first d. This depth is
+   fixed in advance: the largest up to DEPTH at which the recall at the threshold,
+   1 - (1 - THRESHOLD^d)^TREES, reaches RECALL (5 by the parameters here). It doesn't follow the
+   data, and there are no sorted tries as in an LSH forest. Nodes are grouped by their prefix's
+   hash; nodes with a single set end here.
 3. Candidates: within a node all pairs are looked at, by arrays, in blocks of NODE sets against
    NODE sets (so a large node is many tasks and none holds it whole). A pair goes on in the first
    tree that has it together, and if its minima agree enough (ESTIMATE_MARGIN standard
