@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from foliospark.llm.textkit import Texts, slices
 from foliospark.session import prepare, table
 
-WINDOW, STRIDE, DIMS = 256, 2, 6
+WINDOW, STRIDE, DIMS = 256, 1, 6
 WIDTHS, FILTERS = (2, 3, 4), 12
 ROWS_PER_LANGUAGE, WINDOWS_PER_TEXT, MAX_LANGUAGES = 300, 6, 200
 EPOCHS, BATCH, RATE = 8, 64, 0.01
