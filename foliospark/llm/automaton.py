@@ -193,14 +193,27 @@ def _closure(nfa: _Nfa, states) -> frozenset[int]:
     return frozenset(seen)
 
 
-def compile_rules(patterns: list[tuple[str, bool]], anchored: bool = False) -> Automaton:
+def _mirrored(tree):
+    """The syntax tree of the same strings, last byte first."""
+    kind = tree[0]
+    if kind == "byte":
+        return tree
+    if kind == "times":
+        return ("times", _mirrored(tree[1]), tree[2], tree[3])
+    parts = [_mirrored(x) for x in tree[1]]
+    return (kind, parts[::-1] if kind == "then" else parts)
+
+
+def compile_rules(patterns: list[tuple[str, bool]], anchored: bool = False, backward: bool = False) -> Automaton:
     """``patterns``: (expression, whether letters match in either case). Unless ``anchored``, a
-    match may begin at every byte."""
+    match may begin at every byte. ``backward``: the automaton reads a text from its end, and so
+    accepts at the bytes where matches begin."""
     nfa, begins, ends = _Nfa(), [], {}
     for r, (pattern, fold) in enumerate(patterns):
         begin = nfa.state()
         begins.append(begin)
-        ends.setdefault(_build(nfa, _Parser(pattern, fold).parse(), begin), 0)
+        tree = _Parser(pattern, fold).parse()
+        ends.setdefault(_build(nfa, _mirrored(tree) if backward else tree, begin), 0)
         ends[max(ends)] |= 1 << r
     groups: dict[tuple[bool, ...], int] = {}
     kinds = list(dict.fromkeys(s[0] for s in nfa.step if s))
@@ -293,14 +306,37 @@ def scan(a: Automaton, data: np.ndarray, begins: np.ndarray, lanes: int = 4096)
     return states
 
 
-def longest(a: Automaton, data: bytes, at: int, end: int) -> int:
+class Rows(NamedTuple):
+    """An automaton as plain lists, for walks over a few bytes: ``step[state][byte]``."""
+
+    step: list[list[int]]
+    accepts: list[bool]
+    dead: int
+
+
+def as_rows(a: Automaton) -> Rows:
+    return Rows(a.table[:, a.klass].tolist(), (a.accepts != 0).tolist(), a.dead)
+
+
+def longest(a: Rows, data: bytes, at: int, end: int) -> int:
     """End of the longest match that begins at ``at``, at most ``end``; -1 if there is none."""
-    klass, table, accepts, dead = a
+    step, accepts, dead = a
     s, found = 0, -1
     for i in range(at, end):
-        s = table[s, klass[data[i]]]
+        s = step[s][data[i]]
         if s == dead:
             break
         if accepts[s]:
             found = i + 1
     return found
+
+
+def beginnings(a: Rows, data: bytes, at: int, end: int) -> list[int]:
+    """Where in [at, end) a match begins that ends there too, in order; ``a`` reads backward."""
+    step, accepts, _ = a
+    s, found = 0, []
+    for i in range(end - 1, at - 1, -1):
+        s = step[s][data[i]]
+        if accepts[s]:
+            found.append(i)
+    return found[::-1]

@@ -1,10 +1,11 @@
 import re
+import time
 
 import numpy as np
 import pytest
 
 from foliospark.llm import op10_secrets as S
-from foliospark.llm.automaton import compile_rules, longest, scan
+from foliospark.llm.automaton import as_rows, beginnings, compile_rules, longest, scan
 from foliospark.session import table
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""".replace("(password|passwd|secret|token|api_?key)", "((?i:password|passwd|secret|token|api_?key))"), re.ASCII)
@@ -71,15 +72,34 @@ def test_scan_agrees_with_one_lane(lanes):
 
 @pytest.mark.parametrize("pattern", ["a{2,3}b?", "(ab|a)(c|bcd)(d*)", "[^a-c]+z", r"\x41\d\.", "x|yy|"])
 def test_longest_equals_longest_over_all_ends(pattern):
-    a = compile_rules([(pattern, False)], anchored=True)
+    a = as_rows(compile_rules([(pattern, False)], anchored=True))
+    back = as_rows(compile_rules([(pattern, False)], backward=True))
     rng = np.random.default_rng(2)
     for _ in range(200):
         s = bytes(rng.choice(list(b"abcdxyzA1."), rng.integers(0, 9)).astype(np.uint8))
         ends = [e for e in range(1, len(s) + 1) if re.fullmatch(pattern.encode(), s[:e])]
         assert longest(a, s, 0, len(s)) == max(ends, default=-1)
+        begin = [i for i in range(len(s)) if any(re.fullmatch(pattern.encode(), s[i:e]) for e in range(i + 1, len(s) + 1))]
+        assert beginnings(back, s, 0, len(s)) == (begin if not re.fullmatch(pattern.encode(), b"") else list(range(len(s))))
 
 
 def test_bad_patterns_are_refused():
     for p in ("(a", "*a", "a)", "^a"):
         with pytest.raises(ValueError):
             compile_rules([(p, False)])
+
+
+@pytest.mark.parametrize("unit,end", [("eyJ", "token=eyJa.b.c" + "d" * 40), ("token=", " secret=abcdefgh"), ("gh", "ghp_" + "a" * 40), ("AKIA ", "a" * 24), ("-----BEGIN ", "PRIVATE KEY-----"), ("0123456789abcdef", " token = abcdefgh")])
+def test_hostile_texts_take_linear_time(unit, end):
+    scanner = S.Scanner()
+
+    def seconds(n):
+        data = np.frombuffer((unit * (n // len(unit)) + end).encode(), np.uint8)
+        began = time.perf_counter()
+        spans = scanner.spans(data, np.array([0, len(data)]))
+        assert spans
+        return time.perf_counter() - began
+
+    seconds(1000)
+    small, large = seconds(100_000), seconds(1_000_000)
+    assert large < 4 and large < 40 * small + 0.2
