@@ -9,7 +9,9 @@ path in string order.
 
 Only parts of a URL that decide are joined, so repeated URLs are judged once: one row for
 each distinct (host, path). Rules are indexed under their path up to its last ``/``, and
-URLs are expanded at each ``/``; the rest of the rule's path is confirmed after the join.
+URLs are expanded at each ``/``; the rest of the rule's path is confirmed after the join. A URL
+is expanded no deeper than the deepest rule goes (labels of its host, slashes of its path): longer
+expressions equal no rule's, so a URL of any length costs its own length times the rules' depth.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, fits no rule,
 and gets the default verdict. A URL without a path fits only rules with an empty path.
@@ -52,13 +54,12 @@ def _digest(host, key):
     return F.sha2(F.concat(host, F.lit("\n"), key), 256)
 
 
-def expressions(places: DataFrame) -> DataFrame:
-    """One row for each host suffix and each path prefix that ends in ``/`` (or is empty)."""
-    suffixes = F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> substring_index(host, '.', i - 1 - size(split(host, '[.]'))))")
-    last = F.expr("substring_index(host, '.', -1)")
-    suffixes = F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(suffixes, F.array(last))))
-    prefixes = F.expr("transform(sequence(0, size(split(path, '/', -1)) - 1), i -> CASE WHEN i = 0 THEN '' ELSE concat(substring_index(path, '/', i), '/') END)")
-    out = places.withColumn("suffix", F.explode(suffixes)).withColumn("prefix", F.explode(prefixes))
+def expressions(places: DataFrame, labels: int, slashes: int) -> DataFrame:
+    """One row for each host suffix of at most ``labels`` labels and each path prefix that ends in
+    ``/`` and has at most ``slashes`` of them (or is empty)."""
+    suffixes = F.expr(f"transform(sequence(1, least({max(labels, 1)}, 1 + length(host) - length(replace(host, '.', '')))), k -> substring_index(host, '.', -k))")
+    prefixes = F.expr(f"transform(sequence(0, least({slashes}, length(path) - length(replace(path, '/', '')))), k -> CASE WHEN k = 0 THEN '' ELSE concat(substring_index(path, '/', k), '/') END)")
+    out = places.where((F.col("host") != "") & F.lit(labels > 0)).withColumn("suffix", F.explode(suffixes)).withColumn("prefix", F.explode(prefixes))
     return out.withColumn("digest", _digest("suffix", "prefix"))
 
 
@@ -73,7 +74,9 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url: str = "url", default: str
         F.col("verdict").alias("rule_verdict"),
         _digest("host", F.regexp_extract("path", "^(.*/)?", 0)).alias("rule_digest"),
     ).withColumn("short", F.substring("rule_digest", 1, PREFIX_DIGITS))
-    asked = expressions(urls.select("host", "path").distinct()).withColumn("short", F.substring("digest", 1, PREFIX_DIGITS))
+    deepest = good.agg(F.max(F.size(F.split("rule_host", "[.]"))), F.max(F.size(F.split("rule_path", "/")) - 1)).first()
+    labels, slashes = (int(x or 0) for x in deepest)
+    asked = expressions(urls.select("host", "path").distinct(), labels, slashes).withColumn("short", F.substring("digest", 1, PREFIX_DIGITS))
     hits = asked.join(good, "short").where((F.col("digest") == F.col("rule_digest")) & F.col("path").startswith(F.col("rule_path")))
     order = F.struct(
         F.length("rule_host") + F.length("rule_path"),

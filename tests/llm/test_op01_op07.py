@@ -80,6 +80,7 @@ def test_no_python_in_the_plan(spark):
 URLS = [
     (1, "http://a.example.net/en/x?q#f"), (2, "HTTPS://WWW.Example.NET/en/"), (3, "http://example.net/en"), (4, "x://example.com/de/1"), (5, "http://org/fr/"), (6, "http://a.org/fr"), (7, None), (8, "no scheme"),
     (9, "http://net"), (10, "http://net/"), (11, "http://x.net?y/"), (12, "http://notexample.com/de/"), (13, "://b.com#/de/"), (14, ""), (14, ""), (15, "http://a..net//"), (16, "http://x.example.com/de/" + "a/" * 500),
+    (17, "http://" + "a." * 200_000 + "net/" + "/" * 500_000), (18, "http://x.example.com/d" + "e/" * 500_000), (19, "http://org/" + "x" * 500_000),
 ]
 
 
