@@ -1,22 +1,29 @@
 """Quality rules: a short-circuit cascade of native expressions.
 
-``measure`` adds the counts that rules test; ``plan_cascade`` estimates, on a bounded sample,
-the cost and the rejections of each rule and orders the rules greedily by rejections per
-second among the rows that the earlier ones leave; ``apply_cascade`` evaluates them in that
-order in one CASE, so a row that one rule rejects is not shown to the later ones. The order
-changes the cost alone: ``kept`` is false exactly where any rule rejects.
+``plan_cascade`` estimates, on a bounded sample of the table, the cost and the rejections of each
+rule and orders the rules greedily by rejections per second among the rows that the earlier ones
+leave; ``apply_cascade`` tests them in that order in one CASE. A measure that only a rule needs is
+computed inside that rule's branch, so a row that one rule rejects is neither measured for nor shown
+to the later ones. Measures that are asked for as columns are computed for every row and cost the
+rules nothing more. The order changes the cost alone: ``kept`` is false exactly where any rule rejects.
 
 Words are runs ``[^\\x20\\x09-\\x0D]+``. Everything on the main path is a built-in expression;
 the repeated windows of a text are found by sorting its window hashes (64 bits), so a text
 of n words costs n log n whatever it repeats.
 
+The sample: SAMPLE_ROWS rows or so, drawn at random over the whole table (one read of the text column,
+no shuffle); texts alone are fetched, and those longer than SAMPLE_BYTES are left out of the sample
+(and of nothing else).
+
 Defined results: a null or empty text has no words and fails the base rule. A rule whose
-test is null does not reject. Extra columns stay, those named like a measure are replaced,
-repeated rows are measured each for itself, and an empty table gives an empty result.
+test is null does not reject. Extra columns stay, those named like a result are replaced
+(working columns take names that the table doesn't use), repeated rows are measured each for
+itself, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
 import time
 from typing import NamedTuple
 
@@ -29,7 +36,7 @@ from foliospark.session import table
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: Rows at most of the sample that orders the rules.
+#: Rows of the sample that orders the rules; never more than twice as many.
 SAMPLE_ROWS = 500
 #: Longer texts are left out of that sample (and of nothing else), which bounds its size.
 SAMPLE_BYTES = 1 << 16
@@ -57,7 +64,8 @@ RULES = (
     Rule("stuttering", "3 * n_stutters > n_words"),
     Rule("repeated_lines", "n_dup_lines > 3 AND 2 * n_dup_lines > n_text_lines"),
 )
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_text_lines", "n_stutters", "n_repeat_words")
+#: What every row gets as columns; the other measures are computed for the rules that need them.
+BASE_MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -66,7 +74,7 @@ def _let(value: str, name: str, body: str) -> str:
 
 
 def _repeat_words() -> str:
-    """SQL for the words in windows found twice or more, from the array of words ``_words``."""
+    """SQL for the words in windows found twice or more, from the array of words."""
     at = ", ".join(f"h[i + {k}]" for k in range(WINDOW))
     windows = f"transform(sequence(0, size(h) - {WINDOW}), i -> xxhash64({at}))"
     begins = (
@@ -75,55 +83,77 @@ def _repeat_words() -> str:
     covered = f"aggregate(transform(b, (p, i) -> CASE WHEN i + 1 < size(b) THEN least({WINDOW}, b[i + 1] - p) ELSE {WINDOW} END), 0L, (a, x) -> a + x)"
     found = _let("array_sort(transform(w, (x, i) -> named_struct('h', x, 'p', i)))", "s", _let(f"array_sort({begins})", "b", covered))
     checked = _let(windows, "w", f"CASE WHEN size(array_distinct(w)) = size(w) THEN 0L ELSE {found} END")
-    return f"CASE WHEN size(_words) <= {WINDOW} THEN 0L ELSE {_let('transform(_words, x -> xxhash64(x))', 'h', checked)} END"
+    return f"CASE WHEN size(@words) <= {WINDOW} THEN 0L ELSE {_let('transform(@words, x -> xxhash64(x))', 'h', checked)} END"
+
+
+#: SQL of each measure over the working columns, whose prefix takes the place of @.
+_SQL = {
+    "n_words": "size(@words) + 0L",
+    "word_chars": "length(array_join(@words, '')) + 0L",
+    "n_symbols": "octet_length(@text) - octet_length(regexp_replace(@text, '[#*$%&|<>]+', '')) + 0L",
+    "n_dup_lines": "size(@lines) - size(array_distinct(@lines)) + 0L",
+    "n_text_lines": "size(@lines) + 0L",
+    "n_stutters": _let("@words", "w", "size(filter(transform(w, (x, i) -> i > 0 AND x = w[i - 1]), b -> b))") + " + 0L",
+    "n_repeat_words": _repeat_words(),
+}
+MEASURES = tuple(_SQL)
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds MEASURES (long) of each whole text."""
-    own = F.coalesce(F.col(text), F.lit(""))
-    split = docs.drop(*MEASURES, "_words", "_lines", "_text").withColumn("_text", own).withColumns(
-        {
-            "_words": F.array_remove(F.split("_text", r"[\x20\x09-\x0D]+"), ""),
-            "_lines": F.filter(F.split("_text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
-        }
-    )
-    bare = F.regexp_replace("_text", r"[#*$%&|<>]+", "")
-    counts = split.withColumns(
-        {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-            "n_symbols": (F.octet_length("_text") - F.octet_length(bare)).cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_text_lines": F.size("_lines").cast("long"),
-            "n_stutters": F.expr(_let("_words", "w", "size(filter(transform(w, (x, i) -> i > 0 AND x = w[i - 1]), b -> b))") + " + 0L"),
-            "n_repeat_words": F.expr(_repeat_words()),
-        }
-    )
-    return counts.drop("_words", "_lines", "_text")
+def _split(docs: DataFrame, text: str) -> tuple[DataFrame, str]:
+    """Adds the working columns; their prefix."""
+    at = "_"
+    while any(c.lower().startswith(at) for c in docs.columns):
+        at += "_"
+    whole = docs.withColumn(f"{at}text", F.coalesce(F.col(text), F.lit("")))
+    parts = {
+        f"{at}words": F.array_remove(F.split(f"{at}text", r"[\x20\x09-\x0D]+"), ""),
+        f"{at}lines": F.filter(F.split(f"{at}text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
+    }
+    return whole.withColumns(parts), at
+
+
+def _condition(rule: str, have: tuple[str, ...], at: str) -> str:
+    """The rule's SQL, in which each measure that isn't a column is computed where it stands."""
+    for name in MEASURES:
+        if name not in have and re.search(rf"\b{name}\b", rule):
+            rule = _let(_SQL[name].replace("@", at), name, rule)
+    return rule
+
+
+def measure(docs: DataFrame, text: str = "text", measures: tuple[str, ...] = MEASURES) -> DataFrame:
+    """Adds ``measures`` (long) of each whole text."""
+    split, at = _split(docs.drop(*measures), text)
+    return split.withColumns({m: F.expr(_SQL[m].replace("@", at)) for m in measures}).drop(f"{at}text", f"{at}words", f"{at}lines")
+
+
+def _sample(docs: DataFrame, text: str, rows: int) -> DataFrame:
+    some = docs.select(F.col(text).alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
+    share = rows / max(docs.count(), 1)
+    return (some.sample(share, 1) if share < 1 else some).limit(2 * rows)
 
 
-def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules in the order in which the cascade should test them, from at most ``rows`` rows.
+def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS, text: str = "text", given: tuple[str, ...] = ()) -> list[Rule]:
+    """The rules in the order in which the cascade should test them, from about ``rows`` rows.
 
-    A rule's cost is the time that measuring and testing it alone takes on the sample; only
-    the measures that it names are evaluated, for Catalyst prunes the others. Rejections are
-    those among the sample rows that the rules before leave. Ties keep the given order."""
+    A rule's cost is the time that testing it takes on the sample, with all measures that it names
+    and that aren't ``given`` as columns anyway. Rejections are those among the sample rows that
+    the rules before leave. Ties keep the given order."""
     spark = docs.sparkSession
-    some = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
-    sample = spark.createDataFrame(some.limit(rows).collect(), docs.schema)
-    measured = measure(sample)
+    drawn = measure(_sample(docs, text, rows), measures=given)
+    sample, at = _split(spark.createDataFrame(drawn.collect(), drawn.schema), "text")
+    tests = {r: F.coalesce(F.expr(_condition(r.rejects, given, at)), F.lit(False)) for r in rules}
 
-    def seconds(condition: str) -> float:
+    def seconds(test) -> float:
         took = []
         for _ in range(TIMINGS):
             began = time.perf_counter()
-            measured.agg(F.count_if(F.expr(condition))).collect()
+            sample.agg(F.count_if(test)).collect()
             took.append(time.perf_counter() - began)
         return min(took)
 
-    base = seconds("text IS NULL")
-    cost = {r: max(seconds(r.rejects) - base, 1e-4) for r in rules}
-    marks = measured.groupBy(*(F.coalesce(F.expr(r.rejects), F.lit(False)).alias(f"r{i}") for i, r in enumerate(rules))).count().collect()
+    base = seconds(F.col("text").isNull())
+    cost = {r: max(seconds(tests[r]) - base, 1e-4) for r in rules}
+    marks = sample.groupBy(*(tests[r].alias(f"r{i}") for i, r in enumerate(rules))).count().collect()
     order: list[Rule] = []
     left = list(enumerate(rules))
     while left:
@@ -135,24 +165,27 @@ def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = S
     return order
 
 
-def apply_cascade(measured: DataFrame, order: list[Rule]) -> DataFrame:
-    """Adds failed_rule, the first rule in this order that rejects, else null."""
+def apply_cascade(docs: DataFrame, order: list[Rule], text: str = "text", given: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the measures ``given`` and failed_rule, the first rule in this order that rejects, else null."""
+    split, at = _split(docs.drop("failed_rule", *given), text)
+    measured = split.withColumns({m: F.expr(_SQL[m].replace("@", at)) for m in given})
     case = F.lit(None).cast("string")
     for r in reversed(order):
-        case = F.when(F.expr(r.rejects), F.lit(r.name)).otherwise(case)
-    return measured.withColumn("failed_rule", case)
+        case = F.when(F.expr(_condition(r.rejects, given, at)), F.lit(r.name)).otherwise(case)
+    return measured.withColumn("failed_rule", case).drop(f"{at}text", f"{at}words", f"{at}lines")
 
 
 def quality_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Measures, base_failed, failed_rule and kept for every row of ``docs``."""
-    out = apply_cascade(measure(docs.drop("failed_rule", "base_failed", "kept")), plan_cascade(docs, rules))
+    """BASE_MEASURES, base_failed, failed_rule and kept for every row of ``docs``."""
+    order = plan_cascade(docs, rules, given=BASE_MEASURES)
+    out = apply_cascade(docs.drop("base_failed", "kept"), order, given=BASE_MEASURES)
     base = F.expr(" OR ".join(f"({r.rejects})" for r in BASE_RULES))
     return out.withColumns({"base_failed": base, "kept": ~base & F.col("failed_rule").isNull()})
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality_cascade(docs).select("doc_id", *MEASURES, "base_failed", "kept")
+    return quality_cascade(docs).select("doc_id", *BASE_MEASURES, "base_failed", "kept")
 
 
 QUERIES = {"op1_quality": op1_quality}
@@ -177,6 +210,6 @@ WITH d AS (
          len(list_filter(list_zip(ws[2:], ws[:len(ws) - 1]), lambda p: p[1] = p[2]))::BIGINT AS n_stutters, coalesce(cov.n, 0)::BIGINT AS n_repeat_words
   FROM d JOIN w USING (rid) LEFT JOIN cov USING (rid)
 )
-SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AS base_failed, NOT ({_ANY}) AS kept FROM m
+SELECT doc_id, {", ".join(BASE_MEASURES)}, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AS base_failed, NOT ({_ANY}) AS kept FROM m
 """
 }

@@ -2,6 +2,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from foliospark.llm import op01_quality as Q
 from foliospark.llm import op07_urls as U
@@ -42,12 +43,13 @@ def texts():
 def test_measures_equal_brute_force(spark):
     values = texts()
     df = spark.createDataFrame([(i if i != 4 else 3, t, "x", -1) for i, t in enumerate(values)], "doc_id long, text string, kept string, n_words int").coalesce(1)
-    out = Q.quality_cascade(df)
+    out = Q.quality_cascade(df.withColumn("_words", F.lit("stays")))
     rows = out.collect()
-    assert len(rows) == len(values)
-    for r, t in zip(rows, values, strict=True):
+    assert len(rows) == len(values) and {r["_words"] for r in rows} == {"stays"}
+    for r, every, t in zip(rows, Q.measure(df).collect(), values, strict=True):
         m = brute(t)
-        assert tuple(r[c] for c in Q.MEASURES) == m
+        assert tuple(every[c] for c in Q.MEASURES) == m
+        assert all(r[c] == every[c] for c in Q.BASE_MEASURES)
         base = m[0] < 20 or 100 * m[6] > 30 * m[0]
         bad = base or 10 * m[2] > 2 * m[0] or m[1] > 20 * m[0] or m[1] < 2 * m[0] or 3 * m[5] > m[0] or (m[3] > 3 and 2 * m[3] > m[4])
         assert r["base_failed"] == base and r["kept"] == (not bad) and (r["failed_rule"] is None) == (not bad)
@@ -58,9 +60,8 @@ def test_the_order_changes_the_cost_alone(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts())], "doc_id long, text string")
     order = Q.plan_cascade(df)
     assert sorted(order) == sorted(Q.RULES)
-    measured = Q.measure(df)
-    told = lambda rules: {r["doc_id"]: r["failed_rule"] is None for r in Q.apply_cascade(measured, rules).collect()}
-    assert told(order) == told(list(reversed(order)))
+    told = lambda rules, given: {r["doc_id"]: r["failed_rule"] is None for r in Q.apply_cascade(df, rules, given=given).collect()}
+    assert told(order, ()) == told(list(reversed(order)), ()) == told(order, Q.BASE_MEASURES)
 
 
 def test_cheap_rules_that_reject_come_first(spark, monkeypatch):
@@ -72,6 +73,23 @@ def test_cheap_rules_that_reject_come_first(spark, monkeypatch):
     assert [r.name for r in Q.plan_cascade(df, rules)] == ["most", "few", "none"]
 
 
+def test_rejected_rows_are_not_measured(spark, monkeypatch):
+    """A measure that fails wherever it is evaluated: only rows that reach its rule evaluate it."""
+    monkeypatch.setitem(Q._SQL, "n_stutters", "CASE WHEN size(@words) < 3 THEN raise_error('measured') ELSE 0L END")
+    df = spark.createDataFrame([(1, "a b"), (2, "a b c d"), (3, None)], "doc_id long, text string")
+    few, stutters = Q.Rule("few", "n_words < 3"), Q.Rule("stutters", "n_stutters > 1")
+    got = Q.apply_cascade(df, [few, stutters]).orderBy("doc_id").collect()
+    assert [r["failed_rule"] for r in got] == ["few", None, "few"]
+    with pytest.raises(Exception, match="measured"):
+        Q.apply_cascade(df, [stutters, few]).collect()
+
+
+def test_the_sample_is_drawn_over_the_table(spark):
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    ids = [int(r["text"]) for r in Q._sample(df, "text", 200).collect()]
+    assert 120 < len(ids) < 300 and min(ids) < 1000 and max(ids) > 19_000
+
+
 def test_no_python_in_the_plan(spark):
     plan = Q.op1_quality(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
