@@ -2,9 +2,10 @@
 
 Bytes are embedded, filters of several widths slide over them, each filter's largest response
 in a window is kept, and a softmax layer turns these into languages. Trained in numpy on the
-driver (Adam on minibatches) from at most ROWS_PER_LANGUAGE labelled texts of each of the
-MAX_LANGUAGES most frequent languages, chosen by a hash of id and text, and at most
-WINDOWS_PER_TEXT windows of each, evenly spread over it; only these windows are collected.
+driver (Adam on minibatches) from labelled texts of every language that occurs: ROWS_PER_LANGUAGE
+of each at most, or fewer, where that would be more than TRAIN_ROWS in all; never less than one. They
+are chosen by a hash of id and text, rows that are equal in both count as one, and of each text
+at most WINDOWS_PER_TEXT windows are taken, evenly spread over it; only these windows are collected.
 
 Prediction covers every byte of every text: a text is cut into windows of WINDOW bytes (the
 last one padded), their log probabilities are averaged by bytes, and the average is
@@ -33,7 +34,7 @@ from foliospark.session import prepare, table
 
 WINDOW, STRIDE, DIMS = 256, 1, 6
 WIDTHS, FILTERS = (2, 3, 4), 12
-ROWS_PER_LANGUAGE, WINDOWS_PER_TEXT, MAX_LANGUAGES = 300, 6, 200
+ROWS_PER_LANGUAGE, WINDOWS_PER_TEXT, TRAIN_ROWS = 300, 6, 60_000
 EPOCHS, BATCH, RATE = 8, 64, 0.01
 UNKNOWN = "und"
 _WIDE = max(WIDTHS)
@@ -173,21 +174,25 @@ def _some_windows(batches):
 
 def train_language(docs: DataFrame, usable: Column, rows: int = ROWS_PER_LANGUAGE) -> Network:
     """Learns ``lang`` from the texts of ``docs`` (doc_id, text, lang) where ``usable`` holds."""
-    prepare(docs.sparkSession)
-    good = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    totals = good.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    totals = totals.withColumn("rate", F.least(F.lit(1.0), F.lit(1.5 * rows) / F.col("count"))).select("lang", "rate")
+    spark = docs.sparkSession
+    prepare(spark)
     part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    some = good.join(F.broadcast(totals), "lang").where(part < F.col("rate")).select("lang", "text", part.alias("part"))
+    good = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("part", part)
+    found = good.groupBy("lang").agg(F.approx_count_distinct("part").alias("n")).collect()  # as many as the model has outputs
+    rows = max(1, min(rows, TRAIN_ROWS // max(len(found), 1)))
+    rates = spark.createDataFrame([(r["lang"], min(1.0, (2.0 * rows + 8) / r["n"])) for r in found], "lang string, rate double")
+    some = good.join(rates if len(found) > TRAIN_ROWS else F.broadcast(rates), "lang").where("part < rate")
+    some = some.groupBy("lang", "part").agg(F.first("text").alias("text"))
     got = some.mapInArrow(_some_windows, "lang string, part double, bytes binary").toArrow()
     part_of, lang_of = np.array(got.column("part"), float), got.column("lang").to_pylist()
     taken: dict[str, set[float]] = {}
     keep = []
-    for i in np.argsort(part_of, kind="stable").tolist():
+    for i in np.lexsort((part_of, np.array(lang_of, object).astype(str))).tolist():
         own = taken.setdefault(lang_of[i], set())
         if len(own) < rows or part_of[i] in own:
             own.add(part_of[i])
             keep.append(i)
+    keep.sort(key=lambda i: (part_of[i], lang_of[i]))
     raw = got.column("bytes").to_pylist()
     x = np.frombuffer(b"".join(raw[i] for i in keep), np.uint8).reshape(-1, WINDOW)
     return fit(x, [lang_of[i] for i in keep])

@@ -47,6 +47,41 @@ def test_language_edge_cases(spark):
     assert {r["lang_pred"] for r in L.identify_language(df, none).collect()} == {"und"}
 
 
+def test_prediction_equals_a_plain_forward_pass(spark):
+    """Window by window, position by position, filter by filter, in plain loops."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    net = L.train_language(docs.select("doc_id", "text", "lang"), F.lit(True), rows=30)
+    values = [r["text"] for r in docs.limit(8).collect()] + ["é" * 300, "a", "Ж1" * 200, "x " * 128]
+    names, scores = L.predict(net, texts(*values))
+    for value, name, score in zip(values, names, scores, strict=True):
+        data, total = value.encode(), np.zeros(len(net.languages))
+        for at in range(0, len(data), L.WINDOW):
+            part = data[at : at + L.WINDOW]
+            x = [net.embed[b].astype(float) for b in part.ljust(L.WINDOW, b"\0")]
+            hidden = []
+            for k in range(len(L.WIDTHS) * L.FILTERS):
+                width = L.WIDTHS[k // L.FILTERS]
+                weights = net.filters[: width * L.DIMS, k].astype(float)
+                best = max(float(np.concatenate(x[i : i + width]) @ weights) for i in range(L.WINDOW - max(L.WIDTHS) + 1))
+                hidden.append(max(best + float(net.shift[k]), 0.0))
+            out = np.array(hidden) @ net.dense + net.bias
+            total += len(part) * (out - out.max() - np.log(np.exp(out - out.max()).sum()))
+        p = np.exp(total / len(data) - (total / len(data)).max())
+        p /= p.sum()
+        assert name == net.languages[int(p.argmax())] and abs(score - p.max()) < 1e-3
+
+
+def test_no_language_is_left_out(spark, monkeypatch):
+    """More languages than rows allow for: each is learned, from fewer rows; a copied row counts once."""
+    monkeypatch.setattr(L, "TRAIN_ROWS", 400)
+    rows = [(k * 10 + i, f"{chr(0x4E00 + k)}{chr(0x4E00 + k)} " * 12 + str(i), f"l{k:03}") for k in range(250) for i in range(3)]
+    rows += [(1, "copied text " * 5, "l001")] * 500
+    seen = []
+    monkeypatch.setattr(L, "fit", lambda x, labels: seen.append(labels) or L.Network(sorted(set(labels)), *[None] * 5))
+    net = L.train_language(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), F.lit(True))
+    assert net.languages == [f"l{k:03}" for k in range(250)] and len(seen[0]) == 250
+
+
 def test_toxicity_on_held_out_rows(spark):
     got = X.op8_toxicity(spark, D)
     assert got.columns == ["doc_id", "held_out", "score", "predicted"]
