@@ -8,10 +8,12 @@ first STEM bytes of the longer ones (for inflected and compound words), hashed t
 
 Training is on the driver, in numpy, on at most TRAIN_ROWS labelled rows (those with the
 smallest id hashes; equal feature sets count once, so groups of copies don't outvote the
-rest). What is collected are the rows' bucket numbers, not their texts. Only buckets that are
-associated with the label (MIN_ROWS, MIN_Z; at most MAX_TERMS of them) get weights, since
-most terms of a corpus occur too rarely to learn anything but noise from. Scoring is a
-narrow stage over all rows.
+rest). What is collected are the rows' bucket numbers, not their texts. A bucket gets a weight and
+factors if it is associated with the label by itself (in MIN_ROWS rows or more, |z| >= MIN_Z), or as
+half of a pair: of all pairs of buckets that one row in PAIR_SHARE or more has, those that have the
+label more often than either half does, or less often, by PAIR_Z standard deviations. So two terms
+that tell nothing alone are learned where they tell something together. All such buckets are taken,
+however many; the others' rows are too few to learn anything but noise from. Scoring is a narrow stage over all rows.
 
 Defined results: null and empty texts have no terms and score sigmoid(w0). Without labelled
 rows the score is 0.5; with labels of one kind only it is near that label. Repeated rows are
@@ -35,7 +37,9 @@ from foliospark.session import prepare, table
 HASH_BITS, STEM = 18, 6
 #: Labelled rows at most that training sees.
 TRAIN_ROWS = 6000
-MIN_ROWS, MIN_Z, MAX_TERMS = 4, 4.0, 2048
+MIN_ROWS, MIN_Z = 4, 4.0
+#: Pairs are looked for among buckets that one training row in so many has, and PAIR_ROWS at least.
+PAIR_SHARE, PAIR_ROWS, PAIR_Z = 100, 16, 8.0
 FACTORS, STEPS, RATE, DECAY = 4, 300, 0.1, 2e-5
 THRESHOLD = 0.7
 
@@ -64,6 +68,36 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def paired(owner: np.ndarray, flat: np.ndarray, y: np.ndarray, seen: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    """Buckets of which a pair tells more about the label than both of them alone. ``owner`` and
+    ``flat``: row and bucket of each feature; ``seen``, ``hits``: rows and labelled rows of each bucket."""
+    least = max(PAIR_ROWS, -(-len(y) // PAIR_SHARE))
+    common = np.flatnonzero(seen >= least)
+    slot = np.full(len(seen), -1)
+    slot[common] = np.arange(len(common))
+    positive = int(y.sum())
+    edge = -(-positive // 64) * 64  # labelled rows fill the first words of 64 rows, the others the rest
+    place = np.where(y == 1, np.cumsum(y == 1) - 1, edge + np.cumsum(y == 0) - 1)
+    mark = np.zeros((len(common), -(-(edge + len(y) - positive) // 64) * 8), np.uint8)
+    inside = slot[flat] >= 0
+    at, row = slot[flat[inside]], place[owner[inside]]
+    np.bitwise_or.at(mark, (at, row >> 3), (1 << (row & 7)).astype(np.uint8))
+    mark = mark.view(np.uint64)
+    rate, base = hits[common] / np.maximum(seen[common], 1), positive / max(len(y), 1)
+    chosen = np.zeros(len(common), bool)
+    for i in range(len(common) - 1):
+        both = np.bitwise_count(mark[i + 1 :] & mark[i])
+        n, hit = both.sum(1, dtype=np.int64), both[:, : edge // 64].sum(1, dtype=np.int64)
+        high = np.maximum(np.maximum(rate[i], base), rate[i + 1 :])
+        low = np.minimum(np.minimum(rate[i], base), rate[i + 1 :])
+        more = hit - n * high > PAIR_Z * np.sqrt(n * high * (1 - high))
+        less = n * low - hit > PAIR_Z * np.sqrt(n * low * (1 - low))
+        found = (more | less) & (n >= least // 2)
+        chosen[i] |= found.any()
+        chosen[i + 1 :] |= found
+    return common[chosen]
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 1) -> Machine:
     """rows: the distinct buckets of each text; labels: 0 or 1."""
     slot = np.full(1 << HASH_BITS, -1, np.int32)
@@ -77,22 +111,29 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 1) -> Machine:
     hits = np.bincount(flat, weights=y[owner], minlength=1 << HASH_BITS)
     z = np.abs(hits - seen * rate) / np.sqrt(np.maximum(seen, 1) * rate * (1 - rate))
     z[seen < MIN_ROWS] = 0
-    chosen = np.flatnonzero(z >= MIN_Z)
-    chosen = np.sort(chosen[np.argsort(-z[chosen], kind="stable")[:MAX_TERMS]])
+    chosen = np.union1d(np.flatnonzero(z >= MIN_Z), paired(owner, flat, y, seen, hits))
     slot[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(rows), len(chosen)), np.float32)
-    at = slot[flat]
-    x[owner[at >= 0], at[at >= 0]] = 1
+    kept = slot[flat] >= 0
+    owner, term = owner[kept], slot[flat[kept]]
+
+    def by_row(of_terms: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(owner, weights=c[term], minlength=len(rows)) for c in of_terms.T], 1)
+
+    def by_term(of_rows: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(term, weights=c[owner], minlength=len(chosen)) for c in of_rows.T], 1)
+
     rng = np.random.default_rng(seed)
     parts = [np.array([np.log(rate / (1 - rate))]), np.zeros(len(chosen)), rng.normal(0, 0.05, (len(chosen), FACTORS))]
     first, second = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
     for step in range(1, STEPS + 1):
         bias, weight, factor = parts
-        summed = x @ factor.astype(np.float32)
-        score = bias + x @ weight.astype(np.float32) + 0.5 * ((summed**2).sum(1) - x @ (factor**2).sum(1).astype(np.float32))
-        g = ((_sigmoid(score) - y) / len(y)).astype(np.float32)
-        pull = x.T @ g
-        grads = [g.sum()[None], pull + DECAY * weight, x.T @ (g[:, None] * summed) - pull[:, None] * factor + 4 * DECAY * factor]
+        sums = by_row(np.column_stack([weight, (factor**2).sum(1), factor]))
+        summed = sums[:, 2:]
+        score = bias + sums[:, 0] + 0.5 * ((summed**2).sum(1) - sums[:, 1])
+        g = (_sigmoid(score) - y) / len(y)
+        pulls = by_term(np.column_stack([g, g[:, None] * summed]))
+        pull = pulls[:, 0]
+        grads = [g.sum()[None], pull + DECAY * weight, pulls[:, 1:] - pull[:, None] * factor + 4 * DECAY * factor]
         for k, grad in enumerate(grads):  # Adam
             first[k] = 0.9 * first[k] + 0.1 * grad
             second[k] = 0.99 * second[k] + 0.01 * grad**2

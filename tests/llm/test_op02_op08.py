@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -109,6 +111,40 @@ def test_factorization_learns_a_pair():
     assert p[0] < 0.5 and p[1] < 0.5 and p[2] > 0.7
 
 
+@pytest.mark.parametrize("noise,vocabulary", [(5, 200_000), (20, 300), (100, 2000)])
+def test_a_pair_of_neutral_terms_is_learned(noise, vocabulary):
+    """label = a xor b: neither term tells anything alone. Held-out rows are scored right."""
+    rng = np.random.default_rng(0)
+    values, labels = [], []
+    for _ in range(3000):
+        a, b = rng.random(2) < 0.5
+        extra = [f"w{k}" for k in rng.integers(0, vocabulary, noise)]
+        values.append(" ".join(["alpha"] * int(a) + ["beta"] * int(b) + extra))
+        labels.append(int(a ^ b))
+    found, first = X.buckets(texts(*values))
+    rows = [found[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+    m = X.fit(rows[:2000], np.array(labels[:2000]))
+    told = X.predict(m, texts(*values[2000:])) >= 0.5
+    assert np.mean(told == np.array(labels[2000:], bool)) > 0.99
+
+
+def test_scores_equal_a_plain_machine(spark):
+    """Bias, weights and all pairs of factors, summed pair by pair."""
+    m = X.machine_for(table(spark, D, "documents"), spark, D)
+    values = [r["text"] for r in table(spark, "/root/testdata/sf0.001", "documents").limit(60).collect()] + [None, "", "idiot", "idiot loser trash stupid"]
+    got = X.predict(m, texts(*(v or "" for v in values)))
+    for value, score in zip(values, got, strict=True):
+        terms = re.findall("(?:[A-Za-z0-9]|[^\x00-\x7f])+", value or "")
+        own = set()
+        for t in terms:
+            b = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t).encode()
+            own |= {int(X.buckets(texts(t))[0][i]) for i in range(len(X.buckets(texts(t))[0]))} if len(b) > X.STEM else {word_hash(t) >> (64 - X.HASH_BITS)}
+        slots = [m.slot[k] for k in own if m.slot[k] >= 0]
+        total = m.bias + sum(m.weight[k] for k in slots)
+        total += sum(float(m.factor[a] @ m.factor[b]) for i, a in enumerate(slots) for b in slots[i + 1 :])
+        assert abs(score - 1 / (1 + np.exp(-np.clip(total, -30, 30)))) < 1e-6
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 1)], [(1, None)], [(1, 0), (1, 1), (2, 1)]])
 def test_toxicity_edge_cases(spark, labels):
     rows = [(1, None, "c"), (2, "", "c"), (2, "", "c"), (3, "word " * 100_000, "c")]
