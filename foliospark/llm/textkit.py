@@ -22,6 +22,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Bytes that words() works on at once.
+CHUNK = 1 << 20
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -108,12 +110,27 @@ def stems(texts: Texts, w: Words, size: int, lower: bool = True) -> tuple[np.nda
 
 
 def words(texts: Texts, lower: bool = True, breaks: np.ndarray = _BLANK) -> Words:
-    """Splits every text into words at the bytes in ``breaks``; ``lower`` folds A-Z before hashing."""
+    """Splits every text into words at the bytes in ``breaks``; ``lower`` folds A-Z before hashing.
+    Works through CHUNK bytes at a time, cut between words, so beside the result (24 bytes a word) a
+    long text needs no more memory than a short one."""
     data, offsets = texts
+    parts, at = [], 0
+    while at < len(data):
+        end = min(at + CHUNK, len(data))
+        while end < len(data) and not breaks[data[end]]:  # a word goes on here: to its end
+            ahead = np.flatnonzero(breaks[data[end : end + CHUNK]])
+            end = end + int(ahead[0]) if len(ahead) else min(end + CHUNK, len(data))
+        inside = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, end, "right")] - at
+        starts, ends, hashes = _words(data[at:end], inside, lower, breaks)
+        parts.append((starts + at, ends + at, hashes))
+        at = end
+    none = np.zeros(0, np.int64)
+    starts, ends, hashes = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (none, none, none.view(np.uint64))
+    return Words(starts, ends, hashes, np.searchsorted(starts, offsets))
+
+
+def _words(data: np.ndarray, offsets: np.ndarray, lower: bool, breaks: np.ndarray):
     n = len(data)
-    if n == 0:
-        none = np.zeros(0, np.int64)
-        return Words(none, none, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64))
     blank = breaks[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
@@ -127,8 +144,7 @@ def words(texts: Texts, lower: bool = True, breaks: np.ndarray = _BLANK) -> Word
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
     np.cumsum(((_LOWER[data] if lower else data).astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * down[starts])
-    return Words(starts, ends, hashes, np.searchsorted(starts, offsets))
+    return starts, ends, mix((total[ends] - total[starts]) * down[starts])
 
 
 def word_hash(word: str, lower: bool = True) -> int:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from foliospark.llm import op02_language as L
 from foliospark.llm import op08_toxicity as X
+from foliospark.llm import textkit
 from foliospark.llm.textkit import Texts, word_hash, words
 from foliospark.session import table
 
@@ -25,6 +26,15 @@ def test_words_are_runs_between_ascii_blanks():
     assert w.hashes[2] == word_hash("é x")
 
 
+def test_words_do_not_depend_on_the_chunk(monkeypatch):
+    values = ["ab  cd é", "", "x" * 50, " y ", "a b" * 30, "zz"]
+    want = words(texts(*values))
+    for size in (1, 3, 7, 64):
+        monkeypatch.setattr(textkit, "CHUNK", size)
+        for a, b in zip(words(texts(*values)), want, strict=True):
+            assert (a == b).all()
+
+
 def test_held_out_languages(spark):
     got = L.op2_language(spark, D)
     assert got.columns == ["doc_id", "held_out", "lang_pred", "score"]
