@@ -26,26 +26,25 @@ def brute(docs, items):
     for _, _, t in tok:
         w = {x: idf[x] * c * (Q.K1 + 1) / (c + Q.K1 * (1 - Q.B + Q.B * len(t) / mean)) for x, c in Counter(t).items()}
         weight.append({x: v / sum(w.values()) for x, v in w.items()})
-    stride = max((len(t) for _, _, t in tok), default=1)
     out = set()
     for d, (_, text) in enumerate(docs):
         t = terms(text)
-        strides = max(1, -(-len(t) // stride))
-        for s in range(strides):
-            p = t[s * stride : (s + 2) * stride]
-            have = set(p)
-            for (item, raw, own), w in zip(tok, weight, strict=True):
-                if sum(v for x, v in w.items() if x in have) < Q.SCORE - 1e-9:
-                    continue
-                mark = raw.rfind("?")
-                k = len(terms(raw[:mark])) if mark >= 0 else 0
-                if not 0 < k < len(own):
-                    k = max(1, len(own) * 3 // 4) if len(own) > 1 else 1
-                size = min(Q.RUN, k)
-                runs = lambda x: {tuple(x[i : i + size]) for i in range(len(x) - size + 1)}  # noqa: E731, B023
-                q, a = runs(own[:k]), set(own[k:])
-                if len(q & runs(p)) >= Q.OVERLAP * len(q) and len(a & have) >= Q.OVERLAP * len(a):
+        for (item, raw, own), w in zip(tok, weight, strict=True):
+            if sum(v for x, v in w.items() if x in set(t)) < Q.SCORE - 1e-9:
+                continue  # then no window has it either
+            mark = raw.rfind("?")
+            k = len(terms(raw[:mark])) if mark >= 0 else 0
+            if not 0 < k < len(own):
+                k = max(1, len(own) * 3 // 4) if len(own) > 1 else 1
+            size, width = min(Q.RUN, k), 2 * len(own)
+            runs = lambda x: {tuple(x[i : i + size]) for i in range(len(x) - size + 1)}  # noqa: E731, B023
+            q, a = runs(own[:k]), set(own[k:])
+            for s in range(max(len(t) - width, 0) + 1):
+                p = t[s : s + width]
+                have = set(p)
+                if sum(v for x, v in w.items() if x in have) >= Q.SCORE - 1e-9 and len(q & runs(p)) >= Q.OVERLAP * len(q) and len(a & have) >= Q.OVERLAP * len(a):
                     out.add((d, item))
+                    break
     return out
 
 
@@ -82,6 +81,35 @@ def test_equals_brute_force(spark, monkeypatch, shard):
     assert len(want) > 30
 
 
+def test_other_items_lengths_change_nothing(spark):
+    """Halves of items far apart are no leak, whole items are, with or without a very long item beside them."""
+    rng = random.Random(9)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    items = [(i, text(20)) for i in range(50)]
+    far = [(i, " ".join([text(50), *t.split(" ")[:10], text(2400), *t.split(" ")[10:], text(50)])) for i, t in items]
+    near = [(100 + i, text(3000) + " " + t + " " + text(3000)) for i, t in items]
+    docs = spark.createDataFrame(far + near, "doc_id long, text string")
+    for more in ([], [(99, text(4000))]):
+        got = Q.find_leaks(docs, spark.createDataFrame(items + more, "item_id long, text string")).collect()
+        assert {(r["doc_id"], x["item_id"]) for r in got for x in r["leaks"]} == {(100 + i, i) for i, _ in items}
+
+
+def test_pieces_of_long_texts_change_nothing(monkeypatch):
+    docs, items = made()
+    texts = [t for _, t in docs if t] + [" ".join(t for _, t in docs if t), "x" * 5000]
+    names, own = zip(*((i, t) for i, t in items if t), strict=True)
+    as_one = lambda v: Q.Texts(np.frombuffer("".join(v).encode(), np.uint8), np.cumsum([0, *(len(x.encode()) for x in v)]))
+    indexes = Q.build_index(list(names), as_one(own), Q.statistics_of(as_one(own)))
+    assert len(indexes) > 1
+    want = [Q.search(indexes, as_one([t])) for t in texts]
+    for cells, piece in ((1, 1 << 20), (1 << 21, 300), (64, 50)):
+        monkeypatch.setattr(Q, "CELLS", max(cells, 8))
+        monkeypatch.setattr(Q, "PIECE", piece)
+        for t, w in zip(texts, want, strict=True):
+            assert [x[:2] for x in Q.search(indexes, as_one([t]))] == [x[:2] for x in w]
+            assert np.allclose([x[2:] for x in Q.search(indexes, as_one([t]))], [x[2:] for x in w])
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
