@@ -40,3 +40,46 @@ def dropped(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Workspace:
+    """Stored tables of one job, all of which are deleted when it ends."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def table(self, df: DataFrame, name: str) -> tuple[DataFrame, str]:
+        out, path = stored(df, name)
+        self.paths.append(path)
+        return out, path
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        return self.table(df, name)[0]
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            dropped(self.spark, path)
+
+
+_results: list[str] = []
+
+
+def result(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a stored table that stays until ``release``."""
+    out, path = stored(df, name)
+    _results.append(path)
+    return out
+
+
+def release(spark: SparkSession, before: int = 0) -> None:
+    """Deletes the stored results from number ``before`` on, which nothing may read any more."""
+    while len(_results) > before:
+        dropped(spark, _results.pop())
+
+
+def results() -> int:
+    """How many stored results there are."""
+    return len(_results)

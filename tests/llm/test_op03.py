@@ -1,10 +1,13 @@
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from foliospark.llm import op03_jaccard as J
+from foliospark.llm import scratch
 from foliospark.llm.components import connected_components
 from foliospark.session import table
 
@@ -80,6 +83,7 @@ def made(seed=5):
 @pytest.mark.parametrize("node", [512, 16])
 def test_equals_brute_force(spark, monkeypatch, node):
     monkeypatch.setattr(J, "NODE", node)
+    monkeypatch.setattr(J, "VERIFY_SETS", node)
     rows = made()
     got = as_rows(J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
     want = brute(rows)
@@ -108,20 +112,66 @@ def test_empty_table_and_null_ids(spark):
 
 def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (7, 7), (101, 100)]
-    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
-    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    with scratch.Workspace(spark) as kept:
+        got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), kept).collect()}
+        assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+        some = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), kept, rounds=1).collect()}
+        assert set(some) == set(got) and all(got[some[k]] == got[k] and some[k] <= k for k in got)
+        assert connected_components(spark.createDataFrame([], "a long, b long"), kept).count() == 0
 
 
-def test_depth_is_the_longest_that_reaches_the_recall():
-    d = J.prefix_depth()
-    hit = lambda k: 1 - (1 - J.THRESHOLD**k) ** J.TREES
-    assert hit(d) >= J.RECALL and (d == J.DEPTH or hit(d + 1) < J.RECALL)
+def test_the_shallowest_depth_is_the_longest_that_reaches_the_recall():
+    d = J.shallowest()
+    assert J.chance(J.THRESHOLD, d) >= J.RECALL and (d == J.DEPTH or J.chance(J.THRESHOLD, d + 1) < J.RECALL)
 
 
-def test_both_ways_of_finding_fresh_pairs_agree():
+def test_both_ways_of_counting_agreement_agree():
     rng = np.random.default_rng(0)
-    a = rng.integers(0, 2, (220, J.TREES * J.DEPTH)).astype(np.uint32)
-    big = J.fresh_pairs(a, a, 9, 3, 48)
-    small = np.vstack([np.hstack([J.fresh_pairs(a[i : i + 110], a[j : j + 110], 9, 3, 48) for j in (0, 110)]) for i in (0, 110)])
-    assert big.any() and (big == small).all()
+    a = rng.integers(0, 2, (220, J._ALL)).astype(np.uint16)
+    assert (J.agreement(a, a) == np.vstack([[J.agreement(a[i : i + 1], a[j : j + 1])[0, 0] for j in range(220)] for i in range(220)])).all()
+
+
+@pytest.mark.parametrize("rows", [1, 7, 1000])
+def test_deepest_matched_prefix(rows):
+    """By all pairs; the first and the last label may have any neighbour beyond."""
+    rng = np.random.default_rng(3)
+    labels = np.sort(rng.integers(0, 3, (400, J.DEPTH)).astype(">u2").view(f"S{2 * J.DEPTH}").ravel())
+    tree = np.sort(rng.integers(0, 2, 400))
+    raw = [x.ljust(2 * J.DEPTH, b"\0") for k in (0, 1) for x in labels[tree == k].tolist()]
+    t = pa.table({"tree": pa.array(tree, pa.int32()), "label": pa.array(raw, pa.binary()), "set_id": pa.array(range(400), pa.int64())})
+    got = {r["set_id"]: r["deep"] for b in J._matched(iter(t.to_batches(max_chunksize=rows)), 3) for r in b.to_pylist()}
+    x = np.frombuffer(b"".join(raw), ">u2").reshape(-1, J.DEPTH)
+    for i in range(400):
+        same = np.logical_and.accumulate(x == x[i], 1).sum(1) * (tree == tree[i])
+        same[i] = 0
+        want = J.DEPTH if i in (0, 399) else int(same.max())
+        assert got.get(i, 0) == (want if want >= 3 else 0)
+
+
+def test_prefixes_are_shortened_until_the_recall(spark, monkeypatch):
+    """A set that has close neighbours is done at the first depth; one without goes on to the last."""
+    asked = []
+    real = J._asked_at
+
+    def noted(forest, known, depth, last):
+        out = real(forest, known, depth, last)
+        asked.append((depth, {r["set_id"] for r in out.where("NOT done").select("set_id").collect()}))
+        return out
+
+    monkeypatch.setattr(J, "_asked_at", noted)
+    monkeypatch.setattr(J, "SHORTEN", 1)
+    rows = made()
+    got = as_rows(J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [d for d, _ in asked] == [8, 7, 6, 5]
+    assert len(asked[0][1]) > 60 > len(asked[-1][1]) > 0
+    assert sum(a != b for a, b in zip(got, brute(rows), strict=True)) <= 0.02 * len(got)
+
+
+def test_only_the_result_stays_stored(spark, tmp_path):
+    folder = Path(scratch.scratch_dir(spark).removeprefix("file://")) / "foliospark"
+    scratch.release(spark)
+    before = set(folder.iterdir()) if folder.exists() else set()
+    J.near_duplicates(spark.createDataFrame(made()[:40], "doc_id long, text string")).count()
+    assert len(set(folder.iterdir()) - before) == 1
+    scratch.release(spark)
+    assert set(folder.iterdir()) == before
