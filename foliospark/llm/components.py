@@ -18,21 +18,23 @@ def connected_components(edges: DataFrame, kept: Workspace, rounds: int | None =
     A hub's edges are many rows of one key on one side of a join, whose other side has a row for a
     node, so they can be split."""
     spark = edges.sparkSession
+    rows = 2 * edges.count()
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both, edges_path = kept.table(both, "edges")
-    start = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("component"))
-    state, path = kept.table(start, "components")
+    both, edges_path = kept.table(both, "edges", rows)
+    state, path = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("component")), None
     while rounds is None or rounds > 0:
         rounds = rounds and rounds - 1
         near = both.join(state, both.b == state.node).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         own = state.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("label"))
         over = state.select(F.col("node").alias("label"), F.col("component").alias("beyond"))
         after = own.join(over, "label").select("node", F.least("label", "beyond").alias("component"), "was")
-        after, next_path = kept.table(after, "components")
+        after, next_path = kept.table(after, "components", rows)
         changed = after.where("component <> was").count()
-        dropped(spark, path)
+        if path:
+            dropped(spark, path)
         state, path = after.drop("was"), next_path
         if not changed:
             break
-    dropped(spark, edges_path)
+    if path:
+        dropped(spark, edges_path)
     return state

@@ -354,35 +354,37 @@ def row_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHING
     spark = docs.sparkSession
     prepare(spark)
     with Workspace(spark) as kept:
-        return result(_row_classes(docs, threshold, size, recall, kept), "near-duplicates")
+        return result(*_row_classes(docs, threshold, size, recall, kept))
 
 
-def _row_classes(docs: DataFrame, threshold: float, size: int, recall: float, kept: Workspace) -> DataFrame:
+def _row_classes(docs: DataFrame, threshold: float, size: int, recall: float, kept: Workspace) -> tuple[DataFrame, str, int]:
     kind = docs.schema["doc_id"].dataType.simpleString()
     floor, least = shallowest(threshold, recall), least_agreement(threshold)
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     sketches = kept.stored(texts.mapInArrow(lambda b: _sketch(b, size), f"doc_id {kind}, text_hash long, bytes long, set_id long, minima binary"), "sketches")
+    rows = sketches.count()
     one = F.min_by(F.struct("text_hash", "bytes"), F.struct(F.col("doc_id").isNull(), "doc_id"))
     sets = sketches.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), one.alias("one"), F.max("minima").alias("minima"))
-    sets = kept.stored(sets.select("set_id", "first_doc", "copies", "one.text_hash", "one.bytes", "minima"), "sets")
+    sets = kept.stored(sets.select("set_id", "first_doc", "copies", "one.text_hash", "one.bytes", "minima"), "sets", rows)
 
     labels = F.array(*(F.struct(F.lit(t).alias("tree"), F.substring("minima", 2 * DEPTH * t + 1, 2 * DEPTH).alias("label")) for t in range(TREES)))
     placed = sets.select("set_id", F.explode(labels).alias("at")).select("at.tree", "at.label", "set_id")
     tries = placed.repartitionByRange("tree", "label", "set_id").sortWithinPartitions("tree", "label", "set_id")
-    forest = kept.stored(tries.mapInArrow(lambda b: _matched(b, floor), "tree int, label binary, set_id long, deep int"), "forest")
+    forest = kept.stored(tries.mapInArrow(lambda b: _matched(b, floor), "tree int, label binary, set_id long, deep int"), "forest", 4 * rows)
+    placed_rows = forest.count()
     known = edges = None
     for depth in [*range(DEPTH, floor, -SHORTEN), floor]:
         asked = _asked_at(forest, known, depth, depth == floor).join(sets.select("set_id", "minima"), "set_id")
         found = _by_group(asked, _NODE_KEYS).mapInArrow(lambda b, d=depth: _candidates(b, d, least, threshold), "set_id long, root long, weight double, chances double")
-        found = kept.stored(found, "candidates")
+        found = kept.stored(found, "candidates", placed_rows)
         pairs = found.where("set_id <> root").select(F.col("set_id").alias("a"), F.col("root").alias("b"))
         edges = pairs if known is None else pairs.union(known.where("set_id <> component").select("set_id", "component"))
         if depth > floor:
             recalls = found.groupBy("set_id").agg((F.sum("chances") >= recall * F.sum("weight")).alias("done"))
             if known is not None:
                 recalls = recalls.union(known.where("done").select("set_id", "done")).groupBy("set_id").agg(F.max("done").alias("done"))
-            groups = connected_components(edges, kept, rounds=2).withColumnRenamed("node", "set_id")
-            known = kept.stored(groups.join(recalls, "set_id", "left").select("set_id", "component", F.coalesce("done", F.lit(False)).alias("done")), "known")
+            groups = connected_components(edges, kept, rounds=1).withColumnRenamed("node", "set_id")
+            known = kept.stored(groups.join(recalls, "set_id", "left").select("set_id", "component", F.coalesce("done", F.lit(False)).alias("done")), "known", rows)
     groups = connected_components(edges, kept).withColumnRenamed("node", "set_id")
 
     wanted = sets.join(groups, "set_id")
@@ -392,17 +394,17 @@ def _row_classes(docs: DataFrame, threshold: float, size: int, recall: float, ke
     fetched = fetched.select("set_id", "text").dropDuplicates(["set_id"])
     whole = wanted.select("set_id", "component", "copies", "minima").join(fetched, "set_id")
     ready = _pairs_of_blocks(whole.join(totals, "component"), block, F.col("blocks")).select("set_id", *_GROUP_KEYS, "side", "copies", "minima", "text")
-    checked = kept.stored(_by_group(ready, _GROUP_KEYS).mapInArrow(lambda b: _verified(b, size, threshold), "set_id long, root long, links long"), "links")
+    checked = kept.stored(_by_group(ready, _GROUP_KEYS).mapInArrow(lambda b: _verified(b, size, threshold), "set_id long, root long, links long"), "links", rows)
 
     grouped = connected_components(checked.where("set_id <> root").select(F.col("set_id").alias("a"), F.col("root").alias("b")), kept).withColumnRenamed("node", "set_id")
     links = checked.groupBy("set_id").agg(F.sum("links").alias("links"))
     # Stored sides: a join straight over two tables can split a group or a set that holds many rows.
-    firsts = kept.stored(grouped.join(sets.select("set_id", "first_doc"), "set_id").groupBy("component").agg(F.min("first_doc").alias("class_doc")), "classes")
+    firsts = kept.stored(grouped.join(sets.select("set_id", "first_doc"), "set_id").groupBy("component").agg(F.min("first_doc").alias("class_doc")), "classes", rows)
     classes = grouped.join(firsts, "component").select("set_id", "class_doc", "component")
     named = sets.select("set_id", "first_doc", "copies").join(classes, "set_id", "left").join(links, "set_id", "left")
-    named = kept.stored(named.select("set_id", F.coalesce("class_doc", "first_doc").alias("class_doc"), F.coalesce("component", "set_id").alias("class_set"), "copies", F.coalesce("links", F.lit(0)).alias("links")), "named-sets")
+    named = kept.stored(named.select("set_id", F.coalesce("class_doc", "first_doc").alias("class_doc"), F.coalesce("component", "set_id").alias("class_set"), "copies", F.coalesce("links", F.lit(0)).alias("links")), "named-sets", rows)
     out = sketches.select("doc_id", "text_hash", "set_id").join(named, "set_id", "left")
-    return out.select(
+    out = out.select(
         "doc_id",
         F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("class_doc")).alias("class_id"),
         F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),
@@ -410,6 +412,7 @@ def _row_classes(docs: DataFrame, threshold: float, size: int, recall: float, ke
         "text_hash",
         "class_set",
     )
+    return out, "near-duplicates", rows
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,10 +21,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+#: Rows of a stored file of a table whose size is known; small tables have a file for each core.
+FILE_ROWS = 1 << 17
+
+
+def stored(df: DataFrame, name: str, rows: int | None = None) -> tuple[DataFrame, str]:
     """Writes ``df`` to the shared folder and reads it back: lineage ends here, every executor can
-    read it, and the shuffle files of the write are no longer needed."""
+    read it, and the shuffle files of the write are no longer needed. ``rows``: about how many rows
+    it has, for fewer files than shuffle partitions where it is small."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     path = f"{scratch_dir(spark)}/foliospark/{name}-{uuid.uuid4().hex}.parquet"
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
@@ -48,13 +55,13 @@ class Workspace:
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.paths = spark, []
 
-    def table(self, df: DataFrame, name: str) -> tuple[DataFrame, str]:
-        out, path = stored(df, name)
+    def table(self, df: DataFrame, name: str, rows: int | None = None) -> tuple[DataFrame, str]:
+        out, path = stored(df, name, rows)
         self.paths.append(path)
         return out, path
 
-    def stored(self, df: DataFrame, name: str) -> DataFrame:
-        return self.table(df, name)[0]
+    def stored(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        return self.table(df, name, rows)[0]
 
     def __enter__(self) -> Workspace:
         return self
@@ -67,9 +74,9 @@ class Workspace:
 _results: list[str] = []
 
 
-def result(df: DataFrame, name: str) -> DataFrame:
+def result(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """``df`` as a stored table that stays until ``release``."""
-    out, path = stored(df, name)
+    out, path = stored(df, name, rows)
     _results.append(path)
     return out
 
