@@ -17,14 +17,14 @@ shingle). Two texts are linked if the Jaccard similarity of their sets is THRESH
    at the threshold itself (5 for 0.8), so no pair has a smaller chance than that unless both of its sets are done before.
    Under a node pairs are looked at by arrays, by the agreement of their minima (ESTIMATE_MARGIN
    standard deviations below the threshold still pass). No pair leaves as a row: a set leaves
-   with the smallest set that it is connected to there. A node of more than NODE sets is dealt to blocks:
+   with one set that it is connected to there, never many with the same one. A node of more than NODE sets is dealt to blocks:
    before the last depth each block is looked at by itself and with one hub block, at the last depth only sets
    outside of the node's largest group so far ask all others. So a hot node costs its size, not its square.
 4. Groups of candidates: the components of those connections. Within a group *all* pairs are verified
    whose minima agree enough, whether or not they met in a tree: a text goes to one group, once, or in
    groups of more than VERIFY_SETS sets or VERIFY_BYTES of text, which are dealt to blocks, once for each block.
    Similarities are counted from the shingle sets. A block gives, for each set, the copies it is
-   linked to and the smallest set that it is connected to there.
+   linked to and one set that it is connected to there.
 5. Components of the verified links are the groups of near duplicates.
 
 Result, a row for each document: class_id, the smallest doc_id of its group; n_links, the number
@@ -53,6 +53,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, SHORTEN, RECALL = 16, 8, 3, 0.995
 NODE = 512
 VERIFY_SETS, VERIFY_BYTES = 512, 16 << 20
+FAN = 32
 ESTIMATE_MARGIN = 4.0
 _ALL = TREES * DEPTH
 _rng = np.random.default_rng(20240601)
@@ -201,13 +202,25 @@ def joined(n: int, ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return label
 
 
+def tied(ids: np.ndarray, label: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """For each row another id of its label, such that these ties connect all rows of a label and no id
+    has many: a tree of FAN children a node, in an order that differs from group to group by ``salt``."""
+    order = np.lexsort((mix(ids.view(np.uint64) ^ mix(salt.astype(np.uint64))), label))
+    new = np.append(True, label[order][1:] != label[order][:-1])
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    place = np.arange(len(order)) - first
+    out = np.empty(len(ids), np.int64)
+    out[order] = ids[order[first + np.maximum(place - 1, 0) // FAN]]
+    return out
+
+
 _NODE_KEYS = ["node", "low", "high"]
 #: Rows of a group: ALL are compared with each other and with ASKING ones, ASKED only with those.
 _ALL_PAIRS, _ASKING, _ASKED = 0, 1, 2
 
 
 def _candidates(batches, depth: int, least: float, threshold: float):
-    """(set, smallest set that it is connected to, weight of its finds, their weighted chances) by node."""
+    """(set, a set that it is connected to, weight of its finds, their weighted chances) by node."""
     for t, bounds in _runs(batches, _NODE_KEYS):
         rows = _matrix(t.column("minima"))
         role, ids, group, done = (np.asarray(t.column(c)) for c in ("role", "set_id", "component", "done"))
@@ -242,9 +255,10 @@ def _candidates(batches, depth: int, least: float, threshold: float):
         weight = s**-depth
         sums = [np.bincount(np.append(i, j), weights=np.append(w, w), minlength=len(ids)) for w in (weight, weight * chance(s, depth))]
         some = np.unique(np.append(i, j))
-        root = joined(len(ids), ids, i, j)
-        out = [pa.array(ids[some], pa.int64()), pa.array(root[some], pa.int64()), *(pa.array(x[some], pa.float64()) for x in sums)]
-        yield pa.RecordBatch.from_arrays(out, names=["set_id", "root", "weight", "chances"])
+        label = joined(len(ids), ids, i, j)[some]
+        salt = np.asarray(t.column("low"))[some] * 31 + np.asarray(t.column("high"))[some]
+        out = [pa.array(ids[some], pa.int64()), pa.array(tied(ids[some], label, salt), pa.int64()), *(pa.array(x[some], pa.float64()) for x in sums)]
+        yield pa.RecordBatch.from_arrays(out, names=["set_id", "tie", "weight", "chances"])
 
 
 def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -278,6 +292,7 @@ def _verified(batches, size: int, threshold: float):
     for t, bounds in _runs(batches, _GROUP_KEYS):
         rows = _matrix(t.column("minima"))
         side, ids, copies = (np.asarray(t.column(c)) for c in ("side", "set_id", "copies"))
+        salt = np.asarray(t.column("low")) * 31 + np.asarray(t.column("high"))
         sets: list[np.ndarray] = []
         for _, texts in slices(iter(t.select(["text"]).to_batches())):
             found, first = shingle_sets(texts, size)
@@ -299,11 +314,11 @@ def _verified(batches, size: int, threshold: float):
             np.add.at(links, left - a, linked @ copies[right])
             np.add.at(links, right - a, copies[left] @ linked)
             i, j = np.nonzero(linked)
-            root = joined(b - a, ids[a:b], left[i] - a, right[j] - a)
             some = links > 0
-            out.append((ids[a:b][some], root[some], links[some]))
+            label = joined(b - a, ids[a:b], left[i] - a, right[j] - a)[some]
+            out.append((ids[a:b][some], tied(ids[a:b][some], label, salt[a:b][some]), links[some]))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], names=["set_id", "root", "links"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], names=["set_id", "tie", "links"])
 
 
 def _by_group(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -370,14 +385,14 @@ def _row_classes(docs: DataFrame, threshold: float, size: int, recall: float, ke
     labels = F.array(*(F.struct(F.lit(t).alias("tree"), F.substring("minima", 2 * DEPTH * t + 1, 2 * DEPTH).alias("label")) for t in range(TREES)))
     placed = sets.select("set_id", F.explode(labels).alias("at")).select("at.tree", "at.label", "set_id")
     tries = placed.repartitionByRange("tree", "label", "set_id").sortWithinPartitions("tree", "label", "set_id")
-    forest = kept.stored(tries.mapInArrow(lambda b: _matched(b, floor), "tree int, label binary, set_id long, deep int"), "forest", 4 * rows)
+    forest = kept.stored(tries.mapInArrow(lambda b: _matched(b, floor), "tree int, label binary, set_id long, deep int"), "forest", 16 * rows)
     placed_rows = forest.count()
     known = edges = None
     for depth in [*range(DEPTH, floor, -SHORTEN), floor]:
         asked = _asked_at(forest, known, depth, depth == floor).join(sets.select("set_id", "minima"), "set_id")
-        found = _by_group(asked, _NODE_KEYS).mapInArrow(lambda b, d=depth: _candidates(b, d, least, threshold), "set_id long, root long, weight double, chances double")
+        found = _by_group(asked, _NODE_KEYS).mapInArrow(lambda b, d=depth: _candidates(b, d, least, threshold), "set_id long, tie long, weight double, chances double")
         found = kept.stored(found, "candidates", placed_rows)
-        pairs = found.where("set_id <> root").select(F.col("set_id").alias("a"), F.col("root").alias("b"))
+        pairs = found.where("set_id <> tie").select(F.col("set_id").alias("a"), F.col("tie").alias("b"))
         edges = pairs if known is None else pairs.union(known.where("set_id <> component").select("set_id", "component"))
         if depth > floor:
             recalls = found.groupBy("set_id").agg((F.sum("chances") >= recall * F.sum("weight")).alias("done"))
@@ -394,9 +409,9 @@ def _row_classes(docs: DataFrame, threshold: float, size: int, recall: float, ke
     fetched = fetched.select("set_id", "text").dropDuplicates(["set_id"])
     whole = wanted.select("set_id", "component", "copies", "minima").join(fetched, "set_id")
     ready = _pairs_of_blocks(whole.join(totals, "component"), block, F.col("blocks")).select("set_id", *_GROUP_KEYS, "side", "copies", "minima", "text")
-    checked = kept.stored(_by_group(ready, _GROUP_KEYS).mapInArrow(lambda b: _verified(b, size, threshold), "set_id long, root long, links long"), "links", rows)
+    checked = kept.stored(_by_group(ready, _GROUP_KEYS).mapInArrow(lambda b: _verified(b, size, threshold), "set_id long, tie long, links long"), "links", rows)
 
-    grouped = connected_components(checked.where("set_id <> root").select(F.col("set_id").alias("a"), F.col("root").alias("b")), kept).withColumnRenamed("node", "set_id")
+    grouped = connected_components(checked.where("set_id <> tie").select(F.col("set_id").alias("a"), F.col("tie").alias("b")), kept).withColumnRenamed("node", "set_id")
     links = checked.groupBy("set_id").agg(F.sum("links").alias("links"))
     # Stored sides: a join straight over two tables can split a group or a set that holds many rows.
     firsts = kept.stored(grouped.join(sets.select("set_id", "first_doc"), "set_id").groupBy("component").agg(F.min("first_doc").alias("class_doc")), "classes", rows)

@@ -148,6 +148,19 @@ def test_deepest_matched_prefix(rows):
         assert got.get(i, 0) == (want if want >= 3 else 0)
 
 
+def test_ties_connect_a_label_and_have_no_hub():
+    rng = np.random.default_rng(5)
+    ids = rng.permutation(5000).astype(np.int64)
+    label = np.where(ids < 4000, 0, ids // 3)
+    tie = J.tied(ids, label, np.zeros(5000, np.int64))
+    to = J.joined(5000, ids, np.arange(5000), np.argsort(ids)[tie])
+    groups = {}
+    for v, k in zip(to.tolist(), label.tolist(), strict=True):
+        groups.setdefault(k, set()).add(v)
+    assert all(len(v) == 1 for v in groups.values()) and len({next(iter(v)) for v in groups.values()}) == len(groups)
+    assert np.bincount(tie).max() <= J.FAN + 1
+
+
 def test_prefixes_are_shortened_until_the_recall(spark, monkeypatch):
     """A set that has close neighbours is done at the first depth; one without goes on to the last."""
     asked = []
