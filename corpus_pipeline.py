@@ -1,7 +1,7 @@
 """From documents to packed training sequences, in five stages.
 
 toxicity        rows whose predicted toxicity reaches the threshold go
-near_duplicates one row of each group of near copies stays: the one with the smallest doc_id
+near_duplicates one row of each group of near copies stays: the one with the smallest doc_id (null last)
 decontamination rows that leak a benchmark item go
 secrets         secrets in the texts are masked; all rows stay, n_chars follows the text
 packing         texts become token ids, packed into sequences
@@ -9,12 +9,18 @@ packing         texts become token ids, packed into sequences
 Each stage takes (spark, docs, sf_dir) and works on all rows of ``docs``; all but the last return
 the columns of ``docs``. ``run`` writes each stage's rows to the shared folder and reads them back,
 so a lost executor costs a part of one stage. The last stage's rows are those of
-``pack_hierarchical``, ids included. Rows with a null doc_id are no stage's duplicates.
+``pack_hierarchical``, ids included.
+
+Defined results: every stage decides row by row, never by doc_id alone. Rows of one id with several
+texts are several documents; of rows that are equal in id and text one stays, the first by its
+other columns. Rows with a null doc_id are documents like others. Null, empty and blank texts are no
+duplicates of each other, leak nothing and hold no secret: all their rows reach packing. Extra columns
+go along, whatever their names, up to packing. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm.op03_jaccard import row_classes
@@ -22,7 +28,7 @@ from foliospark.llm.op06_decontaminate import find_leaks
 from foliospark.llm.op08_toxicity import machine_for, score_toxicity
 from foliospark.llm.op09_packing import pack_hierarchical
 from foliospark.llm.op10_secrets import redact_secrets
-from foliospark.llm.scratch import dropped, stored
+from foliospark.llm.scratch import dropped, release, results, stored
 from foliospark.session import table
 
 
@@ -31,15 +37,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows are told apart by doc_id and text; of equal rows the first by the other columns stays."""
-    named = docs.where("doc_id IS NOT NULL").withColumn("_hash", F.xxhash64("text"))
-    rows = row_classes(docs.select("doc_id", "text")).where("doc_id IS NOT NULL").select("doc_id", F.col("text_hash").alias("_hash"), "class_set")
-    firsts = rows.where("class_set IS NOT NULL").groupBy("class_set").agg(F.min(F.struct("doc_id", "_hash")).alias("first")).select("first.*", F.lit(True).alias("_once"))
-    wordless = rows.where("class_set IS NULL").select("doc_id", "_hash", F.lit(False).alias("_once")).distinct()
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    nth = F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy("doc_id", *others))
-    kept = named.join(firsts.unionByName(wordless), ["doc_id", "_hash"]).withColumn("_nth", nth).where("_nth = 1 OR NOT _once")
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    some = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = row_classes(docs.select("doc_id", "text")).where("class_set IS NOT NULL")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    firsts = rows.groupBy("class_set").agg(first).select(F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash"))
+    whole = docs.where(some).select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("text").alias("own_hash"))
+    kept = whole.join(firsts, whole.doc_id.eqNullSafe(firsts.id) & (whole.own_hash == firsts.hash))
+    once = kept.groupBy("doc_id", "own_hash").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return once.select("row.*").unionByName(docs.where(~some))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,10 +74,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, before = table(spark, sf_dir, "documents"), None
+    docs, before, held = table(spark, sf_dir, "documents"), None, results()
     for name, stage in STAGES:
         docs, path = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
         if before:
             dropped(spark, before)
+        release(spark, held)
         before = path
     return docs
