@@ -71,4 +71,6 @@ def test_stages_take_empty_and_odd_tables(spark, name, stage):
     out = stage(spark, df, D)
     assert stage(spark, df.limit(0), D).count() == 0
     if name != "packing":
-        assert {r["doc_id"] for r in out.collect()} == {1, 2, 3, 4, None} or name == "toxicity"
+        got = sorted(map(repr, map(tuple, out.collect())))
+        want = [r for i, r in enumerate(rows) if name != "near_duplicates" or i not in (2, 4)]  # one row of the class of id 3
+        assert got == sorted(map(repr, want)) or (name == "toxicity" and set(got) <= set(map(repr, want)))
