@@ -20,6 +20,8 @@ go along, whatever their names, up to packing. An empty table gives an empty res
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +34,17 @@ from foliospark.llm.scratch import dropped, release, results, stored
 from foliospark.session import table
 
 
+def _guarded(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work`` on the rows of ``docs``, whose other columns than doc_id and text bear names meanwhile
+    that none of its results has."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    out = work(docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(f"in_{c}") for c in others)))
+    return out.select(*(F.col(f"`in_{c}`").alias(c) if c in others else c for c in docs.columns))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return score_toxicity(docs, machine_for(docs, spark, sf_dir)).where("predicted = 0").select(*docs.columns)
+    machine = machine_for(docs, spark, sf_dir)
+    return _guarded(docs, lambda rows: score_toxicity(rows, machine).where("predicted = 0"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,14 +59,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return find_leaks(docs, table(spark, sf_dir, "benchmark")).where(F.size("leaks") == 0).select(*docs.columns)
+    return _guarded(docs, lambda rows: find_leaks(rows, table(spark, sf_dir, "benchmark")).where(F.size("leaks") == 0))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = redact_secrets(docs)
+    out = _guarded(docs, redact_secrets)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
