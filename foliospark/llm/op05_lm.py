@@ -7,13 +7,16 @@ by expectation-maximisation on deleted training documents (one fold of the train
 whose own counts are taken off the counts that they are scored with. Tokens are the words of a
 text, A-Z lower-cased, and one end; a text's first token has a start as its context.
 
-How it is distributed. Rows are dealt to blocks by a hash. A block sends the distinct n-grams
-of its texts with their counts, as sorted arrays, to key shards; a shard adds up all blocks'
-counts and answers each block with the totals, in the order in which it asked; the block then
-scores its texts with arrays alone. A frequent word costs each block one key, so there is no
-hot key, and no task holds more than a block or a shard. Blocks and shards hold BLOCK_BYTES
-of text, more for huge inputs (the square root of 1 KB times the bytes), which keeps the
-messages between them at about 1 KB or more. All counts cover all training rows.
+How it is distributed. Rows are dealt to blocks by their place in the table, so equal rows are spread
+like others. A block sends the distinct n-grams of its texts with their counts, as sorted arrays, to
+key shards; a shard adds up all blocks' counts and answers each block with the totals, in the order in
+which it asked; the block then scores its texts with arrays alone. A frequent word costs each block one
+key, so there is no hot key. Blocks and shards hold BLOCK_BYTES of text up to 250 GB of input; beyond,
+the square root of 1 KB times the bytes (320 MB at 100 TB), which keeps the messages between them,
+blocks times shards, at about 1 KB or more. A block works through parts of BLOCK_BYTES of its text (or
+one longer text), so beside that text it holds its distinct n-grams, and arrays over the tokens of
+one part. All counts cover all training rows. Rows are read three times, so they must come in the
+same partitions and order each time: an input that shuffles is stored first.
 
 EM sees a histogram of the deleted tokens over (bucket, level of c(v,w)/c(v), level of c(w)/N) in
 half octaves, which no input makes larger than BUCKETS * LEVELS^2 cells; scores use exact ratios.
@@ -31,10 +34,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.scratch import stored
+from foliospark.llm.scratch import result, settled
 from foliospark.llm.textkit import mix, slices, word_hash, words
 from foliospark.session import prepare, table
 
@@ -100,21 +104,60 @@ _ASKED = "block long, shard int, words binary, word_train binary, word_dev binar
 _TOLD = "block long, shard int, n_words int, word_train binary, word_dev binary, n_pairs int, pair_train binary, pair_dev binary, total long, total_dev long, distinct_words long"
 
 
+class Part(NamedTuple):
+    """Tokens of some texts; ``words`` and ``pairs``: sorted distinct keys and the key of each token
+    (of words, a start's for each text behind them)."""
+
+    docs: pa.Table
+    tokens: np.ndarray
+    first: np.ndarray
+    words: tuple[np.ndarray, np.ndarray]
+    pairs: tuple[np.ndarray, np.ndarray]
+
+
+def _part(docs: pa.Table) -> Part:
+    tokens, first = _tokens(docs)
+    found = np.unique(np.concatenate([tokens, np.full(len(first) - 1, _START)]), return_inverse=True)
+    return Part(docs, tokens, first, found, np.unique(_pairs(_before(tokens, first), tokens), return_inverse=True))
+
+
+def _parts(group: pa.Table):
+    """Parts of at most BLOCK_BYTES of text, or one row."""
+    size = pc.fill_null(pc.binary_length(group.column("text")), 0).to_numpy()
+    total, begin = np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), 0
+    while begin < group.num_rows or not begin:
+        end = max(int(np.searchsorted(total, total[begin] + BLOCK_BYTES, "right")) - 1, begin + 1)
+        yield _part(group.slice(begin, end - begin))
+        begin = end
+
+
+def _merged(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(sorted keys, sums...) of several (sorted keys, counts...)."""
+    if len(found) == 1:
+        return found[0]
+    keys = np.unique(np.concatenate([x[0] for x in found]))
+    sums = [np.zeros(len(keys), np.int64) for _ in found[0][1:]]
+    for own, *counts in found:
+        at = np.searchsorted(keys, own)
+        for s, c in zip(sums, counts, strict=True):
+            s[at] += c
+    return keys, *sums
+
+
 def _ask(group: pa.Table, shards: int) -> pa.Table:
-    tokens, first = _tokens(group)
-    size = np.diff(first)
-    train = np.repeat(np.array(group.column("train"), bool), size)
-    dev = np.repeat(np.array(group.column("dev"), bool), size)
-    before = _before(tokens, first)
-    start = np.array(group.column("train"), bool)
-    start_dev = np.array(group.column("dev"), bool)
+    counted: tuple[list, list] = ([], [])
+    for part in _parts(group):
+        size = np.diff(part.first)
+        marks = [np.array(part.docs.column(c), bool) for c in ("train", "dev")]
+        of_tokens = [np.repeat(m, size) for m in marks]
+        for out, (keys, at), weights in (
+            (counted[0], part.words, [np.concatenate(x) for x in zip(of_tokens, marks, strict=True)]),
+            (counted[1], part.pairs, of_tokens),
+        ):
+            out.append((keys, *(np.bincount(at[w], minlength=len(keys)) for w in weights)))
     cols: list[list[bytes]] = []
-    for keys, is_train, is_dev in (
-        (np.concatenate([tokens, np.full(len(start), _START)]), np.concatenate([train, start]), np.concatenate([dev, start_dev])),
-        (_pairs(before, tokens), train, dev),
-    ):
-        distinct, at = np.unique(keys, return_inverse=True)
-        counts = [np.bincount(at[m], minlength=len(distinct)) for m in (is_train, is_dev)]
+    for found in counted:
+        distinct, *counts = _merged(found)
         cut = _cut(distinct, shards)
         cols.append([distinct[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)])
         cols += [[_pack(c[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)] for c in counts]
@@ -160,22 +203,22 @@ def _counts(told: pa.Table, kind: str, part: str, n: int) -> np.ndarray:
     return out
 
 
-def _lookup(docs: pa.Table, told: pa.Table, kept_only: bool):
-    """(tokens, first, c(w), c(v), c(v,w)) of each token; ``kept_only``: less the deleted rows' counts."""
-    tokens, first = _tokens(docs)
-    before = _before(tokens, first)
-    found, at = np.unique(np.concatenate([tokens, np.full(len(first) - 1, _START)]), return_inverse=True)
-    word = _counts(told, "word", "train", len(found))
-    pair_keys, pair_at = np.unique(_pairs(before, tokens), return_inverse=True)
-    pair = _counts(told, "pair", "train", len(pair_keys))
-    if kept_only:
-        word = word - _counts(told, "word", "dev", len(found))
-        pair = pair - _counts(told, "pair", "dev", len(pair_keys))
-    own = word[at[: len(tokens)]]
-    context = np.empty(len(tokens), np.int64)
-    context[1:] = own[:-1]
-    context[first[:-1]] = word[at[-1]] if len(first) > 1 else 0
-    return tokens, first, own, context, pair[pair_at]
+def _lookups(docs: pa.Table, told: pa.Table, kept_only: bool):
+    """For each part of a block (part, c(w), c(v), c(v,w) of each token); ``kept_only``: less the deleted rows' counts."""
+    small = docs.num_rows == 1 or (pc.sum(pc.binary_length(docs.column("text"))).as_py() or 0) <= BLOCK_BYTES
+    parts = list(_parts(docs)) if small else None
+    keys = [_merged([(getattr(p, kind)[0],) for p in (parts or _parts(docs))])[0] for kind in ("words", "pairs")]
+    totals = []
+    for kind, found in zip(("word", "pair"), keys, strict=True):
+        own = _counts(told, kind, "train", len(found))
+        totals.append(own - _counts(told, kind, "dev", len(found)) if kept_only else own)
+    for p in parts or _parts(docs):
+        word, pair = (t[np.searchsorted(k, own)][at] for t, k, (own, at) in zip(totals, keys, (p.words, p.pairs), strict=True))
+        own = word[: len(p.tokens)]
+        context = np.empty(len(own), np.int64)
+        context[1:] = own[:-1]
+        context[p.first[:-1]] = word[len(own) :]
+        yield p, own, context, pair
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:
@@ -191,9 +234,12 @@ def _level(ratio: np.ndarray) -> np.ndarray:
 
 def _histogram(docs: pa.Table, told: pa.Table, kept: int) -> pa.Table:
     """Cells of the tokens of a block of deleted rows."""
-    _, _, own, context, pair = _lookup(docs, told, True)
-    cell = (_bucket(context) * LEVELS + _level(pair / np.maximum(context, 1))) * LEVELS + _level(own / max(kept, 1))
-    cells, n = np.unique(cell, return_counts=True)
+    sums: dict[int, int] = {}
+    for _, own, context, pair in _lookups(docs, told, True):
+        cell = (_bucket(context) * LEVELS + _level(pair / np.maximum(context, 1))) * LEVELS + _level(own / max(kept, 1))
+        for c, k in zip(*(x.tolist() for x in np.unique(cell, return_counts=True)), strict=True):
+            sums[c] = sums.get(c, 0) + k
+    cells, n = list(sums), list(sums.values())
     return pa.table({"cell": pa.array(cells, pa.int64()), "n": pa.array(n, pa.int64())})
 
 
@@ -218,7 +264,11 @@ def fit_weights(cells: np.ndarray, n: np.ndarray, distinct: int) -> tuple[np.nda
 
 
 def _scores(docs: pa.Table, told: pa.Table, m: Model) -> pa.Table:
-    _, first, own, context, pair = _lookup(docs, told, False)
+    return pa.concat_tables([_scored(*x, m) for x in _lookups(docs, told, False)])
+
+
+def _scored(part: Part, own: np.ndarray, context: np.ndarray, pair: np.ndarray, m: Model) -> pa.Table:
+    docs, first = part.docs, part.first
     a = m.mixed[_bucket(context)]
     flat = 1 / (m.distinct + 1)
     low = m.word * own / m.total + (1 - m.word) * flat if m.total else np.full(len(own), 1.0)
@@ -250,11 +300,14 @@ def lm_scores(docs: DataFrame, held_out: Column, deleted: Column) -> DataFrame:
     blocks = shards = max(1, -(-bytes_ // size))
     held = F.coalesce(held_out, F.lit(False))
     dev = ~held & F.coalesce(deleted, F.lit(False))
-    by = F.xxhash64("doc_id", "text")  # deleted rows have blocks of their own, below 0
+    docs = settled(docs.select("doc_id", "text", held.alias("held_out"), dev.alias("dev")), "lm-rows")
+    held, dev = F.col("held_out"), F.col("dev")
+    docs = docs.withColumn("place", F.xxhash64(F.monotonically_increasing_id()))
+    by = F.col("place")  # deleted rows have blocks of their own, below 0
     block = F.when(dev, -1 - F.pmod(by, F.lit(-(-blocks // 8)))).otherwise(F.pmod(by, F.lit(blocks)))
-    dealt = docs.select("doc_id", "text", held.alias("held_out"), (~held).alias("train"), dev.alias("dev"), block.alias("block"))
+    dealt = docs.select("doc_id", "text", "held_out", (~held).alias("train"), "dev", block.alias("block"))
     asked = dealt.groupBy("block").applyInArrow(lambda group: _ask(group, shards), _ASKED)
-    told, _ = stored(asked.groupBy("shard").applyInArrow(_answer, _TOLD), "lm-counts")
+    told = result(asked.groupBy("shard").applyInArrow(_answer, _TOLD), "lm-counts")
     total, total_dev, distinct = (x or 0 for x in told.agg(F.sum("total"), F.sum("total_dev"), F.sum("distinct_words")).first())
     kept = total - total_dev
     dev_rows = dealt.where(dev).groupBy("block").cogroup(told.where("block < 0").groupBy("block"))

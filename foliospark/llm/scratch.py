@@ -49,6 +49,22 @@ def dropped(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: What a plan may consist of if its rows come in the same partitions and order each time they are read.
+_REPEATING = {"Project", "Filter", "LogicalRelation", "DataSourceV2ScanRelation", "LocalRelation", "LogicalRDD", "MapInArrow"}
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` if it reads files (or local rows) without a shuffle, so that its rows come in the same partitions
+    and order each time, also in a task that runs again; else a stored copy of it, which does."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    nodes = {plan.apply(i).getClass().getSimpleName() for i in range(_size(plan))}
+    return df if nodes <= _REPEATING else result(df, name)
+
+
+def _size(plan) -> int:
+    return 1 + sum(_size(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
 class Workspace:
     """Stored tables of one job, all of which are deleted when it ends."""
 

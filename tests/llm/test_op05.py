@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliospark.llm import op05_lm as M
+from foliospark.llm import scratch
 from foliospark.session import table
 
 
@@ -53,6 +54,47 @@ def test_base_equals_brute_force(spark, monkeypatch, block):
     assert {(r["train_tokens"], r["n_known"]) for r in none} == {(0, 0)}
 
 
+@pytest.mark.parametrize("part", [1, 60, 300])
+def test_parts_of_a_block_change_nothing(monkeypatch, part):
+    """Asked keys and scores are those of the block in one part."""
+    texts = ["a b c a", None, "", "x y " * 40, "a b", "c " * 100, "é a b c"] * 3
+    n = len(texts)
+    flags = [i % 3 != 0 for i in range(n)]
+    docs = M.pa.table({"doc_id": list(range(n)), "text": M.pa.array(texts, M.pa.string()), "held_out": [not f for f in flags], "train": flags, "dev": [f and i % 2 == 0 for i, f in enumerate(flags)], "block": [3] * n})
+    model = M.Model(700, 9, np.linspace(0, 0.9, M.BUCKETS), 0.8)
+
+    def run():
+        asked = M._ask(docs, 5)
+        told = M.pa.concat_tables([M._answer(asked.slice(i, 1)) for i in range(5)])
+        histogram = dict(zip(*(c.to_pylist() for c in M._histogram(docs, told, 50).columns), strict=True))
+        return asked, histogram, M._scores(docs, told, model)
+
+    want = run()
+    monkeypatch.setattr(M, "BLOCK_BYTES", part)
+    got = run()
+    assert got[0].equals(want[0]) and got[1] == want[1] and got[2].combine_chunks().equals(want[2].combine_chunks())
+
+
+def test_equal_rows_are_spread(spark, monkeypatch):
+    """One row as a third of all is dealt to all blocks, and an input that shuffles is scored as its rows are."""
+    monkeypatch.setattr(M, "BLOCK_BYTES", 2000)
+    rows = [(1, "one and the same text here", False, False)] * 300 + [(i, f"text {i} a b", i % 2 == 0, i % 3 == 0) for i in range(2, 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h boolean, d boolean").repartition(5)
+    got = M.lm_scores(df, F.col("h"), F.col("d")).collect()
+    check([r[:6] for r in got], rows)
+    scratch.release(spark)
+
+
+def test_a_plan_that_shuffles_is_stored_first(spark):
+    d = table(spark, "/root/testdata/sf0.001", "documents").where("doc_id > 3").select("doc_id", F.upper("text").alias("text"))
+    assert scratch.settled(d, "x") is d
+    for other in (d.repartition(3), d.distinct(), d.orderBy("doc_id"), d.union(d)):
+        assert scratch.settled(other, "x") is not other
+    assert scratch.results() >= 4
+    scratch.release(spark)
+    assert scratch.results() == 0
+
+
 def test_whole_table(spark):
     d = "/root/testdata/sf0.001"
     docs = table(spark, d, "documents")
