@@ -11,7 +11,8 @@ segment lengths, the position of each token in its segment (int32, resets to 0),
 documents and offsets of the segments; ``write_packed`` writes these to Parquet, and
 ``unpack`` gives each document's ids back.
 
-Sequence numbers are the partition's number * 2^32 plus a counter.
+Sequence numbers are the partition's number * 2^32 plus a counter, so they follow the order of the
+rows: an input that shuffles is stored first (``scratch.settled``), and a task that runs again gives the same rows.
 
 Defined results: a null or empty text is the end id alone. Repeated rows are packed each for
 itself; a null doc_id stays null; extra columns are not carried; an empty table packs to none.
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliospark.llm.scratch import settled
 from foliospark.llm.textkit import slices
 from foliospark.llm.tokens import encoder, vocabulary_path
 from foliospark.session import prepare, table
@@ -148,7 +150,7 @@ def pack_documents(docs: DataFrame, text: str = "text", capacity: int = CAPACITY
                 yield _rows(rows[k : k + 64], number + k, names, ids, first, owner, start, size, capacity, doc_ids.type)
             number += len(rows)
 
-    return docs.select("doc_id", text).mapInArrow(packed, _SCHEMA.format(kind.simpleString()))
+    return settled(docs.select("doc_id", text), "packing-rows").mapInArrow(packed, _SCHEMA.format(kind.simpleString()))
 
 
 def _rows(rows, number, names, ids, first, owner, start, size, capacity, kind) -> pa.RecordBatch:

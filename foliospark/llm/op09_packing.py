@@ -11,7 +11,9 @@ longest tier. The windows of a group are dealt to steps of about STEP_TOKENS tok
 step that has the fewest (longest windows first).
 
 Documents are packed in groups of GROUP_TOKENS ids within a scan's partition: a narrow stage of
-bounded memory. Sequence and step numbers are the partition's number * 2^32 plus a counter.
+bounded memory. Sequence and step numbers are the partition's number * 2^32 plus a counter, so
+they follow the order of the rows: an input that shuffles is stored first (``scratch.settled``), and a
+task that runs again gives the same rows.
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed each for
 itself; a null doc_id stays null; extra columns are not carried; an empty table packs to none.
@@ -29,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.llm.op04_token_output import AmountTree, token_groups
+from foliospark.llm.scratch import settled
 from foliospark.llm.tokens import vocabulary_path
 from foliospark.session import prepare, table
 
@@ -128,7 +131,7 @@ def pack_hierarchical(docs: DataFrame, text: str = "text", tiers: tuple[int, ...
             )
             yield told
 
-    return docs.select("doc_id", text).mapInArrow(packed, _SCHEMA.format(docs.schema["doc_id"].dataType.simpleString()))
+    return settled(docs.select("doc_id", text), "packing-rows").mapInArrow(packed, _SCHEMA.format(docs.schema["doc_id"].dataType.simpleString()))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
