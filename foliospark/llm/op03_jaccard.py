@@ -53,7 +53,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, SHORTEN, RECALL = 16, 8, 3, 0.995
 NODE = 512
 VERIFY_SETS, VERIFY_BYTES = 512, 16 << 20
-FAN = 32
+FAN_BITS = 5
 ESTIMATE_MARGIN = 4.0
 _ALL = TREES * DEPTH
 _rng = np.random.default_rng(20240601)
@@ -202,15 +202,25 @@ def joined(n: int, ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return label
 
 
-def tied(ids: np.ndarray, label: np.ndarray, salt: np.ndarray) -> np.ndarray:
+def tied(ids: np.ndarray, label: np.ndarray) -> np.ndarray:
     """For each row another id of its label, such that these ties connect all rows of a label and no id
-    has many: a tree of FAN children a node, in an order that differs from group to group by ``salt``."""
-    order = np.lexsort((mix(ids.view(np.uint64) ^ mix(salt.astype(np.uint64))), label))
-    new = np.append(True, label[order][1:] != label[order][:-1])
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    place = np.arange(len(order)) - first
+    has many: the labels' ids hang in a trie of their hashes, FAN_BITS bits a level, each under the
+    smallest hash of its branch. So the same sets are tied alike in whichever groups they meet."""
+    h = mix(ids.view(np.uint64))
+    order = np.lexsort((h, label))
+    h, label = h[order], label[order]
+    place = np.arange(len(ids))
+    new = np.append(True, label[1:] != label[:-1])
+    size = np.diff(np.append(np.flatnonzero(new), len(ids)))[np.cumsum(new) - 1]
+    levels = np.ceil(np.log2(size) / FAN_BITS).astype(int) - 1
+    to = place.copy()
+    for level in range(int(levels.max(initial=0)), -1, -1):
+        branch = h >> np.uint64(64 - FAN_BITS * level) if level else np.zeros_like(h)
+        begins = new | np.append(True, branch[1:] != branch[:-1])
+        first = np.maximum.accumulate(np.where(begins, place, 0))
+        to = np.where((to == place) & (levels >= level), first, to)
     out = np.empty(len(ids), np.int64)
-    out[order] = ids[order[first + np.maximum(place - 1, 0) // FAN]]
+    out[order] = ids[order[to]]
     return out
 
 
@@ -256,8 +266,7 @@ def _candidates(batches, depth: int, least: float, threshold: float):
         sums = [np.bincount(np.append(i, j), weights=np.append(w, w), minlength=len(ids)) for w in (weight, weight * chance(s, depth))]
         some = np.unique(np.append(i, j))
         label = joined(len(ids), ids, i, j)[some]
-        salt = np.asarray(t.column("low"))[some] * 31 + np.asarray(t.column("high"))[some]
-        out = [pa.array(ids[some], pa.int64()), pa.array(tied(ids[some], label, salt), pa.int64()), *(pa.array(x[some], pa.float64()) for x in sums)]
+        out = [pa.array(ids[some], pa.int64()), pa.array(tied(ids[some], label), pa.int64()), *(pa.array(x[some], pa.float64()) for x in sums)]
         yield pa.RecordBatch.from_arrays(out, names=["set_id", "tie", "weight", "chances"])
 
 
@@ -292,7 +301,6 @@ def _verified(batches, size: int, threshold: float):
     for t, bounds in _runs(batches, _GROUP_KEYS):
         rows = _matrix(t.column("minima"))
         side, ids, copies = (np.asarray(t.column(c)) for c in ("side", "set_id", "copies"))
-        salt = np.asarray(t.column("low")) * 31 + np.asarray(t.column("high"))
         sets: list[np.ndarray] = []
         for _, texts in slices(iter(t.select(["text"]).to_batches())):
             found, first = shingle_sets(texts, size)
@@ -316,7 +324,7 @@ def _verified(batches, size: int, threshold: float):
             i, j = np.nonzero(linked)
             some = links > 0
             label = joined(b - a, ids[a:b], left[i] - a, right[j] - a)[some]
-            out.append((ids[a:b][some], tied(ids[a:b][some], label, salt[a:b][some]), links[some]))
+            out.append((ids[a:b][some], tied(ids[a:b][some], label), links[some]))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], names=["set_id", "tie", "links"])
 
