@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.plans import document_queries, font_queries, geometry_queries, table_queries, text_queries
+from foliospark.plans import document_queries, font_queries, geometry_queries, page_queries, table_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (document_queries, text_queries, font_queries, geometry_queries, table_queries)
+_MODULES = (document_queries, page_queries, text_queries, font_queries, geometry_queries, table_queries)
 
 
 def queries() -> dict[str, Query]:
