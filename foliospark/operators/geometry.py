@@ -87,7 +87,11 @@ def mark_hosts(glyphs: DataFrame, p: Params = PARAMS, keys: tuple[str, ...] = KE
     marks = glyphs.where(F.col("is_mark") & ~moves).select(*keys, "glyph_idx", "along", "across", "size", "turn")
     hosts = glyphs.where(moves).select(*keys, F.col("turn"), F.col("glyph_idx").alias("h_idx"), F.col("along").alias("h_along"), F.col("across").alias("h_across"), F.col("advance").alias("h_advance"))
     far = F.abs(F.col("h_across") - F.col("across"))
-    near = marks.join(hosts, [*keys, "turn"]).where((far <= F.col("size")) & F.col("along").between(F.col("h_along"), F.col("h_along") + F.col("h_advance")))
+    # Joined by bands of lines as high as the page's largest mark, so a mark meets the hosts of three bands, not of the page.
+    tall = marks.groupBy(*keys).agg(F.greatest(F.max("size"), F.lit(1e-3)).alias("band_size"))
+    marks = marks.join(tall, list(keys)).withColumn("band", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: F.floor(F.col("across") / F.col("band_size")) + k)))
+    hosts = hosts.join(tall, list(keys)).withColumn("band", F.floor(F.col("h_across") / F.col("band_size"))).drop("band_size")
+    near = marks.join(hosts, [*keys, "turn", "band"]).where((far <= F.col("size")) & F.col("along").between(F.col("h_along"), F.col("h_along") + F.col("h_advance")))
     return near.groupBy(*keys, "glyph_idx").agg(F.min_by("h_across", F.struct(far, "h_idx")).alias("host_across"))
 
 
@@ -98,9 +102,13 @@ def overlay_anchors(glyphs: DataFrame, p: Params = PARAMS, keys: tuple[str, ...]
     moves = F.abs(F.col("advance")) >= F.col("size") * p.negligible_advance
     loose = glyphs.where(~moves & ~F.col("is_mark")).select(*keys, F.col("glyph_idx"), F.col("along").alias("at"), F.col("across").alias("level"), "size")
     hosts = glyphs.where(moves).select(*keys, F.col("glyph_idx").alias("h_idx"), "along", "across", "advance")
+    # Joined by stretches of paint order as long as the window: the own one and its neighbours.
+    part = lambda c: F.floor(F.col(c) / max(p.overlay_window, 1))
+    loose = loose.withColumn("part", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: part("glyph_idx") + k)))
+    hosts = hosts.withColumn("part", part("h_idx"))
     near = F.col("h_idx").between(F.col("glyph_idx") - p.overlay_window, F.col("glyph_idx") + p.overlay_window) & (F.abs(F.col("across") - F.col("level")) <= F.col("size"))
     inside = (F.col("along") < F.col("at")) & (F.col("at") < F.col("along") + F.col("advance"))
-    hits = loose.join(hosts, list(keys)).where(near & inside)
+    hits = loose.join(hosts, [*keys, "part"]).where(near & inside)
     return hits.groupBy(*keys, "glyph_idx").agg(F.min_by(F.struct("along", "across"), "h_idx").alias("host")).select(*keys, "glyph_idx", "host.*")
 
 
@@ -149,24 +157,19 @@ def xy_cut(items: DataFrame, p: Params = PARAMS, keys: tuple[str, ...] = KEYS) -
     """(keys, item, region): boxes (item, x0, x1, y0, y1, size, rtl) with the number of their region in
     reading order. The cuts are recursive, so a page is one group of arrays."""
     import numpy as np
-    import pyarrow as pa
 
     from foliospark.functions.layout import Boxes, segment
-    from foliospark.session import dealt, ship_package
+    from foliospark.operators.groups import by_page
 
-    ship_package(items.sparkSession)
-
-    def cut(group: pa.Table) -> pa.Table:
-        order = np.argsort(np.asarray(group.column("item")), kind="stable")
-        cols = [np.asarray(group.column(c), float)[order] for c in ("x0", "x1", "y0", "y1", "size")]
-        region = np.zeros(len(order), np.int32)
-        for k, ids in enumerate(segment(Boxes(*cols), bool(group.column("rtl")[0].as_py()), p)):
+    def cut(c: list) -> list[tuple]:
+        order = np.argsort(c[0], kind="stable")
+        region = np.zeros(len(order), int)
+        for k, ids in enumerate(segment(Boxes(*(x[order] for x in c[1:6])), bool(c[6][0]), p)):
             region[ids] = k
-        at = pa.array(order)
-        return pa.table({**{k: group.column(k).take(at) for k in keys}, "item": group.column("item").take(at), "region": pa.array(region, pa.int32())})
+        return list(zip(c[0][order].astype(np.int64).tolist(), region.tolist(), strict=True))
 
-    kinds = {f.name: f.dataType.simpleString() for f in items.schema.fields}
-    return dealt(items, *keys).groupBy(*keys).applyInArrow(cut, ", ".join([f"{k} {kinds[k]}" for k in keys] + [f"item {kinds['item']}", "region int"]))
+    kind = items.schema["item"].dataType.simpleString()
+    return by_page(items, keys, ("item", "x0", "x1", "y0", "y1", "size", "rtl"), f"item {kind}, region int", cut)
 
 
 def number_blocks(blocks: DataFrame, *order: Column | str, keys: tuple[str, ...] = KEYS) -> DataFrame:

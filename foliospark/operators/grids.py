@@ -3,78 +3,53 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.functions.grids import borderless_grids, ruled_grids
+from foliospark.functions.grids import borderless_grids, merged, ruled_grids
 from foliospark.functions.layout import Boxes
 from foliospark.operators.geometry import KEYS
+from foliospark.operators.groups import by_page
 from foliospark.params import PARAMS, Params
-from foliospark.session import dealt, ship_package
 
 _GRID = "grid_id int, xs array<double>, ys array<double>, confidence double, ruled boolean"
 
 
-def _grouped(rows: DataFrame, keys: tuple[str, ...], find) -> DataFrame:
-    ship_package(rows.sparkSession)
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-
-    def told(group: pa.Table) -> pa.Table:
-        grids = find(group)
-        head = {k: pa.array([group.column(k)[0].as_py()] * len(grids), group.column(k).type) for k in keys}
-        many = pa.list_(pa.float64())
-        return pa.table(
-            {
-                **head,
-                "grid_id": pa.array(range(len(grids)), pa.int32()),
-                "xs": pa.array([g.xs for g in grids], many),
-                "ys": pa.array([g.ys for g in grids], many),
-                "confidence": pa.array([g.confidence for g in grids], pa.float64()),
-                "ruled": pa.array([g.ruled for g in grids], pa.bool_()),
-            }
-        )
-
-    return dealt(rows, *keys).groupBy(*keys).applyInArrow(told, ", ".join([f"{k} {kinds[k]}" for k in keys] + [_GRID]))
+def _rows(grids) -> list[tuple]:
+    return [(i, g.xs, g.ys, g.confidence, g.ruled) for i, g in enumerate(grids)]
 
 
 def find_ruled(rules: DataFrame, p: Params = PARAMS, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Grids of painted rules (x0, y0, x1, y1)."""
-    columns = ("x0", "y0", "x1", "y1")
-    return _grouped(rules, keys, lambda g: ruled_grids(np.stack([np.asarray(g.column(c), float) for c in columns], 1), p))
+    return by_page(rules, keys, ("x0", "y0", "x1", "y1"), _GRID, lambda c: _rows(ruled_grids(np.stack(c, 1), p)))
 
 
 def find_borderless(items: DataFrame, p: Params = PARAMS, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Grids of aligned boxes (item, x0, x1, y0, y1, size)."""
 
-    def find(g: pa.Table):
-        order = np.argsort(np.asarray(g.column("item")), kind="stable")
-        return borderless_grids(Boxes(*(np.asarray(g.column(c), float)[order] for c in ("x0", "x1", "y0", "y1", "size"))), p)
+    def find(c: list) -> list[tuple]:
+        order = np.argsort(c[0], kind="stable")
+        return _rows(borderless_grids(Boxes(*(x[order] for x in c[1:])), p))
 
-    return _grouped(items, keys, find)
+    return by_page(items, keys, ("item", "x0", "x1", "y0", "y1", "size"), _GRID, find)
 
 
 def merge_rules(rules: DataFrame, p: Params = PARAMS, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """(keys, upright, at, low, high): rules within the tolerance of the first of a run are one; a
-    native fold over the page's rules."""
-    upright = F.abs(F.col("x1") - F.col("x0")) <= F.abs(F.col("y1") - F.col("y0"))
-    mid = lambda a, b: (F.col(a) + F.col(b)) / 2
-    lo, hi = (lambda a, b: F.least(a, b)), (lambda a, b: F.greatest(a, b))
-    row = F.struct(
-        F.when(upright, mid("x0", "x1")).otherwise(mid("y0", "y1")).alias("at"),
-        F.when(upright, lo("y0", "y1")).otherwise(lo("x0", "x1")).alias("low"),
-        F.when(upright, hi("y0", "y1")).otherwise(hi("x0", "x1")).alias("high"),
-    )
-    kind = "array<struct<at:double,low:double,high:double>>"
-
-    def step(acc, r):
-        last = F.element_at(acc, -1)
-        same = (F.size(acc) > 0) & (F.abs(r["at"] - F.try_element_at(acc, F.lit(-1))["at"]) <= p.merge_tolerance)
-        wider = F.struct(last["at"].alias("at"), F.least(last["low"], r["low"]).alias("low"), F.greatest(last["high"], r["high"]).alias("high"))
-        return F.when(same, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(wider))).otherwise(F.concat(acc, F.array(r)))
-
-    folded = rules.groupBy(*keys, upright.alias("upright")).agg(F.aggregate(F.array_sort(F.collect_list(row)), F.array().cast(kind), step).alias("merged"))
-    return folded.select(*keys, "upright", F.explode("merged").alias("m")).select(*keys, "upright", "m.*")
+    """(keys, upright, at, low, high): rules within the tolerance of the first of a run are one. Where a
+    run begins depends on where the one before began, so a page's rules are folded in one pass."""
+
+    def fold(c: list) -> list[tuple]:
+        x, y = np.sort([c[0], c[2]], axis=0), np.sort([c[1], c[3]], axis=0)
+        upright = x[1] - x[0] <= y[1] - y[0]
+        found = []
+        for side, at, span in ((False, y, x), (True, x, y)):
+            own = upright == side
+            low, high = span[0][own], span[1][own]
+            order = np.lexsort((high, low))  # equal places in a fixed order
+            found += [(side, *m) for m in merged(at.mean(0)[own][order], low[order], high[order], p.merge_tolerance).tolist()]
+        return found
+
+    return by_page(rules, keys, ("x0", "y0", "x1", "y1"), "upright boolean, at double, low double, high double", fold)
 
 
 def cell_boxes(grids: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from foliospark.functions.interpreter import BLACK, PageGlyphs, Style
 from foliospark.functions.lines import PlacedGlyphs
 from foliospark.operators.geometry import KEYS
+from foliospark.operators.groups import by_page
 from foliospark.params import PARAMS, Params
-from foliospark.session import dealt, ship_package
 
 _LINE = "line int, text string, baseline double, x0 double, y0 double, x1 double, y1 double, rtl boolean, unresolved int, glyphs int"
 
@@ -29,21 +28,14 @@ def build_lines(glyphs: DataFrame, p: Params = PARAMS, keys: tuple[str, ...] = K
     """Lines of glyphs (glyph_idx, x, y, advance, size, turn, text or null), from the top. Gaps, marks,
     overlays, digits, reordering and normalisation are a sequence of decisions along a line, so a
     page is one group."""
-    ship_package(glyphs.sparkSession)
-    kinds = {f.name: f.dataType.simpleString() for f in glyphs.schema.fields}
 
-    def built(group: pa.Table) -> pa.Table:
-        order = np.argsort(np.asarray(group.column("glyph_idx")), kind="stable")
-        x, y, advance, size = (np.asarray(group.column(c), float)[order] for c in ("x", "y", "advance", "size"))
+    def built(c: list) -> list[tuple]:
+        order = np.argsort(c[0], kind="stable")
+        x, y, advance, size, turn = (v[order] for v in c[1:6])
         sizes, style = np.unique(size, return_inverse=True)
-        texts = group.column("text").to_pylist()
-        texts = [texts[i] for i in order.tolist()]
-        page = PageGlyphs(np.arange(len(order)), x, y, advance, np.asarray(group.column("turn"), np.int64)[order], style, [Style(BLACK, "given", s, 0) for s in sizes.tolist()])
+        texts = [c[6][i] for i in order.tolist()]
+        page = PageGlyphs(np.arange(len(order)), x, y, advance, turn.astype(np.int64), style, [Style(BLACK, "given", s, 0) for s in sizes.tolist()])
         lines = PlacedGlyphs(page, {"given": _Given(texts)}, p).lines(np.arange(len(order)))
-        rows = [(i, v.text, v.baseline, *v.box, v.rtl, v.unresolved, v.glyphs) for i, v in enumerate(lines)]
-        names, types = zip(*(c.split() for c in _LINE.split(", ")), strict=True)
-        arrow = {"int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
-        head = {k: pa.array([group.column(k)[0].as_py()] * len(rows), group.column(k).type) for k in keys}
-        return pa.table(head | {n: pa.array([r[i] for r in rows], arrow[t]) for i, (n, t) in enumerate(zip(names, types, strict=True))})
+        return [(i, v.text, v.baseline, *v.box, v.rtl, v.unresolved, v.glyphs) for i, v in enumerate(lines)]
 
-    return dealt(glyphs, *keys).groupBy(*keys).applyInArrow(built, ", ".join([f"{k} {kinds[k]}" for k in keys] + [_LINE]))
+    return by_page(glyphs, keys, ("glyph_idx", "x", "y", "advance", "size", "turn", "text"), _LINE, built)
