@@ -112,11 +112,30 @@ def overlay_anchors(glyphs: DataFrame, p: Params = PARAMS, keys: tuple[str, ...]
     return hits.groupBy(*keys, "glyph_idx").agg(F.min_by(F.struct("along", "across"), "h_idx").alias("host")).select(*keys, "glyph_idx", "host.*")
 
 
+#: Bands at most that a page's points are dealt to where they are joined with ranges, and points of a band.
+BANDS, BAND_POINTS = 64, 16
+
+
+def banded(points: DataFrame, at: Column, ranges: DataFrame, low: Column, high: Column, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a ``band`` to join by besides the keys: points by the place of ``at`` between the page's
+    smallest and largest, ranges once for each band that they touch. So a point meets the ranges near it,
+    not all of the page. A range on a page without points keeps a row of a null band."""
+    bands = F.greatest(F.least(F.floor(F.count("*") / BAND_POINTS), F.lit(BANDS)), F.lit(1))
+    extent = points.groupBy(*keys).agg(F.min(at).alias("band_from"), F.greatest((F.max(at) - F.min(at)) * 1.000001 / bands, F.lit(1e-9)).alias("band_step"))
+    place = lambda x: F.floor((x - F.col("band_from")) / F.col("band_step"))
+    inside = lambda x: F.greatest(F.least(place(x), F.lit(BANDS + 1)), F.lit(-1))
+    points = points.join(extent, list(keys)).withColumn("band", place(at)).drop("band_from", "band_step")
+    touched = F.when((low <= high) & F.col("band_from").isNotNull(), F.sequence(inside(low), inside(high)))
+    ranges = ranges.join(extent, list(keys), "left").withColumn("band", F.explode_outer(touched)).drop("band_from", "band_step")
+    return points, ranges
+
+
 def apply_actual_text(glyphs: DataFrame, spans: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Adds ``actual``: the text that a span (seq, start, end, text) states, on its first glyph, and an
     empty text on the others; of several spans the last closed wins."""
     within = F.col("glyph_idx").between(F.col("start"), F.col("end") - 1)
-    hits = glyphs.select(*keys, "glyph_idx").join(spans.select(*keys, "seq", "start", "end", F.col("text").alias("stated")), list(keys)).where(within)
+    points, ranges = banded(glyphs.select(*keys, "glyph_idx"), F.col("glyph_idx"), spans.select(*keys, "seq", "start", "end", F.col("text").alias("stated")), F.col("start"), F.col("end") - 1, keys)
+    hits = points.join(ranges, [*keys, "band"]).where(within)
     told = hits.groupBy(*keys, "glyph_idx").agg(F.max_by(F.when(F.col("glyph_idx") == F.col("start"), F.col("stated")).otherwise(""), "seq").alias("actual"))
     return glyphs.join(told, [*keys, "glyph_idx"], "left")
 
@@ -124,7 +143,8 @@ def apply_actual_text(glyphs: DataFrame, spans: DataFrame, keys: tuple[str, ...]
 def text_within(glyphs: DataFrame, boxes: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """(keys, box_id, glyph_idx): glyphs whose middle of the baseline lies in a box, edges included."""
     middle = F.col("x") + F.col("advance") / 2
-    return glyphs.join(boxes, list(keys)).where(middle.between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))).select(*keys, "box_id", "glyph_idx")
+    glyphs, boxes = banded(glyphs, F.col("y"), boxes, F.col("y0"), F.col("y1"), keys)
+    return glyphs.join(boxes, [*keys, "band"]).where(middle.between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))).select(*keys, "box_id", "glyph_idx")
 
 
 def widest_gaps(spans: DataFrame, least_side: float | Column = 0.0, keys: tuple[str, ...] = KEYS) -> DataFrame:

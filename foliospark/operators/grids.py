@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.grids import borderless_grids, merged, ruled_grids
 from foliospark.functions.layout import Boxes
-from foliospark.operators.geometry import KEYS
+from foliospark.operators.geometry import KEYS, banded
 from foliospark.operators.groups import by_page
 from foliospark.params import PARAMS, Params
 
@@ -65,10 +65,11 @@ def cell_boxes(grids: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
 def fill_cells(cells: DataFrame, lines: DataFrame, rtl: bool = False, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """(keys, grid_id, row, column, text): lines (line, text, baseline, x0, y0, x1, y1) whose middle lies in
     a cell, edges included, from the top and in reading direction."""
+    lines, cells = banded(lines, (F.col("y0") + F.col("y1")) / 2, cells, F.col("y0"), F.col("y1"), keys)
     a, b = cells.alias("c"), lines.alias("l")
     x, y = (F.col("l.x0") + F.col("l.x1")) / 2, (F.col("l.y0") + F.col("l.y1")) / 2
     on = F.lit(True)
-    for k in keys:
+    for k in (*keys, "band"):
         on = on & (F.col(f"c.{k}") == F.col(f"l.{k}"))
     on = on & x.between(F.col("c.x0"), F.col("c.x1")) & y.between(F.col("c.y0"), F.col("c.y1"))
     side = -F.col("l.x0") if rtl else F.col("l.x0")
