@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import base64
+import struct
+import zlib
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -188,6 +192,13 @@ QUERIES = {
     )
 }
 
+def _gray_png(sample: int) -> str:
+    """A picture of one gray sample as base64."""
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    parts = chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)), chunk(b"IDAT", zlib.compress(bytes([0, sample]))), chunk(b"IEND", b"")
+    return base64.b64encode(b"\x89PNG\r\n\x1a\n" + b"".join(parts)).decode()
+
+
 _ESCAPED = "replace(replace(replace(replace(replace(TEXT, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;')"
 ORACLE_SQL = {
     "block_inventory": LINES + "SELECT doc_id, page, NOT blank AS has_text, blank::BIGINT AS images, true AS dense FROM judged",
@@ -238,6 +249,16 @@ FROM w JOIN b USING (doc_id) WHERE bucket * 0.5::DOUBLE >= body * 0.5::DOUBLE *
     "html_blocks": LINES
     + f"""SELECT doc_id, page, '<p dir="ltr"' || CASE WHEN bad > 0 THEN ' data-confidence="' || printf('%.2f', 1 - bad / glyphs) || '"' ELSE '' END || '>' || {_ESCAPED.replace('TEXT', "replace(text, chr(10), ' ')")} || '</p>' || chr(10) AS html
  FROM judged WHERE NOT blank""",
+    "html_documents": LINES
+    + f""", section AS (
+  SELECT doc_id, page, '<section class="page" id="page-' || page || '" data-confidence="' || printf('%.2f', confidence) || '">' || chr(10) || '<div class="page-number">' || page || '</div>' || chr(10)
+   || CASE WHEN blank THEN '<p class="needs-ocr">No text layer on this page — it needs OCR. (no text layer: the page paints no glyphs at all)</p>' || chr(10)
+     || '<img class="background" alt="Im0.png" width="1" height="1" src="data:image/png;base64,{_gray_png(128)}">' || chr(10)
+    ELSE '<p dir="ltr"' || CASE WHEN bad > 0 THEN ' data-confidence="' || printf('%.2f', 1 - bad / glyphs) || '"' ELSE '' END || '>' || {_ESCAPED.replace('TEXT', "replace(text, chr(10), ' ')")} || '</p>' || chr(10) END
+   || '</section>' || chr(10) AS html FROM judged
+) SELECT doc_id, '<!DOCTYPE html>' || chr(10) || '<html lang="en" dir="ltr">' || chr(10) || '<head>' || chr(10) || '<meta charset="utf-8">' || chr(10)
+ || '<meta name="viewport" content="width=device-width, initial-scale=1">' || chr(10) || '<title>Extracted document</title>' || chr(10) || '<style>{render.STYLE}</style>' || chr(10) || '</head>' || chr(10) || '<body>' || chr(10)
+ || string_agg(html, '' ORDER BY page) || '</body>' || chr(10) || '</html>' || chr(10) AS html FROM section GROUP BY doc_id""",
     "json_page_counts": LINES + "SELECT doc_id, count(*) AS page_count, arg_min(verdict, page) AS verdict FROM judged GROUP BY doc_id",
     "parse_errors": LINES + "SELECT doc_id, doc_id % 2 = 0 AS failed, (CASE WHEN doc_id % 2 = 0 THEN 0 ELSE count(*) END)::BIGINT AS pages FROM judged GROUP BY doc_id",
 }

@@ -112,30 +112,35 @@ def test_forms_images_and_their_resources():
     assert (100, 100, 120, 120) in [b.box for b in r.blocks]
 
 
-def tagged(cover=True):
+def tagged(share_tagged=True):
+    """Two pages; three elements in an order of their own, the last on the second page."""
     w = PdfWriter()
-    catalog, tree, root, page = (w.reserve() for _ in range(4))
     font = w.add(FONT)
-    spans = b"BT /F1 12 Tf /P <</MCID 0>> BDC 1 0 0 1 20 100 Tm (Alpha) Tj EMC /H1 <</MCID 1>> BDC 1 0 0 1 20 150 Tm (Beta) Tj EMC " + (b"" if cover else b"1 0 0 1 20 50 Tm (untagged words here) Tj ") + b"ET"
-    content = w.stream(spans)
-    p = w.add(f"<</S/Body/P {root} 0 R/Pg {page} 0 R/K 0>>")
-    h = w.add(f"<</S/H1/P {root} 0 R/K[<</Type/MCR/Pg {page} 0 R/MCID 1>>]/Pg {page} 0 R>>")
-    doc = w.add(f"<</S/Document/K[{p} 0 R {h} 0 R {p} 0 R]>>")
-    w.set(root, f"<</Type/StructTreeRoot/K {doc} 0 R/RoleMap<</Body/P>>>>")
-    w.set(page, f"<</Type/Page/Parent {tree} 0 R/MediaBox[0 0 200 200]/Contents {content} 0 R/Resources<</Font<</F1 {font} 0 R>>>>>>")
-    w.set(tree, f"<</Type/Pages/Kids[{page} 0 R]/Count 1>>")
-    w.set(catalog, f"<</Type/Catalog/Pages {tree} 0 R/StructTreeRoot {root} 0 R/MarkInfo<</Marked true>>>>")
-    return w.file(catalog)
+    root, body, one, two, tree = (w.reserve() for _ in range(5))
+    line = lambda mark, y, text: b"/Span <</MCID %d>> BDC 1 0 0 1 33 %d Tm (%s) Tj EMC " % (mark, y, text)
+    first = b"BT /F1 9 Tf " + line(4, 610, b"green hills") + line(2, 455, b"far away") + (b"" if share_tagged else b"1 0 0 1 33 300 Tm (no tag holds these many words) Tj ") + b"ET"
+    second = b"BT /F1 9 Tf " + line(4, 77, b"the end") + b"ET"
+    for page, content in ((one, first), (two, second)):
+        w.set(page, f"<</Type/Page/Parent {tree} 0 R/MediaBox[0 0 333 700]/Contents {w.stream(content)} 0 R/Resources<</Font<</F1 {font} 0 R>>>>>>")
+    kids = [
+        w.add(f"<</S/Verse/P {body} 0 R/Pg {one} 0 R/K 2>>"),
+        w.add(f"<</S/H2/P {body} 0 R/K[<</Type/MCR/Pg {one} 0 R/MCID 4>>]/Pg {one} 0 R>>"),
+        w.add(f"<</S/Verse/P {body} 0 R/Pg {two} 0 R/K[4]>>"),
+    ]
+    w.set(body, f"<</S/Part/P {root} 0 R/K[{' '.join(f'{k} 0 R' for k in [*kids, kids[0]])}]>>")
+    w.set(root, f"<</Type/StructTreeRoot/K {body} 0 R/RoleMap<</Verse/P>>>>")
+    w.set(tree, f"<</Type/Pages/Kids[{one} 0 R {two} 0 R]/Count 2>>")
+    return w.file(w.add(f"<</Type/Catalog/MarkInfo<</Marked true>>/StructTreeRoot {root} 0 R/Pages {tree} 0 R>>"))
 
 
 def test_tags_state_the_order():
     pdf = PdfPages(tagged())
     marked, elements = pdf.structure()
-    assert marked and [e.tag for e in elements] == ["Document", "P", "H1"] and [e.mcids for e in elements] == [[], [0], [1]]
-    (r,) = map(process, page_inputs(tagged()))
-    assert r.tagged and [x.text for x in r.lines] == ["Alpha", "Beta"]
-    (r,) = map(process, page_inputs(tagged(cover=False)))
-    assert not r.tagged and [x.text for x in r.lines] == ["Beta", "Alpha", "untagged words here"]
+    assert marked and [e.tag for e in elements] == ["Part", "P", "H2", "P"] and [e.mcids for e in elements] == [[], [2], [4], [4]]
+    pages = list(map(process, page_inputs(tagged())))
+    assert all(r.tagged for r in pages) and [[x.text for x in r.lines] for r in pages] == [["far away", "green hills"], ["the end"]]
+    loose, whole = map(process, page_inputs(tagged(share_tagged=False)))
+    assert not loose.tagged and whole.tagged and [x.text for x in loose.lines] == ["green hills", "far away", "no tag holds these many words"]
 
 
 def test_only_wanted_pages_are_read():
