@@ -1,17 +1,22 @@
 """The object graph of a PDF file: cross-reference tables and streams, object streams, and a
-scan of the whole file where these are broken. Encrypted files are reported, not read."""
+scan of the whole file where these are broken. Encrypted files are read if they open without a password."""
 
 from __future__ import annotations
 
 import re
 from typing import Any
 
+from foliospark.sources.pdf_crypt import Crypt
 from foliospark.sources.pdf_filters import ABBREVIATIONS, decode
 from foliospark.sources.pdf_syntax import Keyword, PdfError, Reader, Ref, Stream, at_end
 
 _OBJECT = re.compile(rb"(?<![0-9])(\d+)[\x00\t\n\x0c\r ]+(\d+)[\x00\t\n\x0c\r ]+obj\b")
 
 
+class Locked(PdfError):
+    """An encrypted file that doesn't open without a password."""
+
+
 class PdfFile:
     def __init__(self, data: bytes) -> None:
         if b"%PDF-" not in data[:1024]:
@@ -24,18 +29,42 @@ class PdfFile:
         self.repaired = False
         self._objects: dict[int, Any] = {}
         self._packed: dict[int, list] = {}
+        self._crypt: Crypt | None = None
         try:
             self._read_tables()
+            self._unlock()
+        except Locked:
+            raise
         except (PdfError, ValueError, IndexError, KeyError, TypeError, AttributeError):
             self.places, self.trailer = {}, {}
         if "Root" not in self.trailer or not isinstance(self.get(self.trailer["Root"]), dict):
             self.repaired = True
             self._scan()
-        if "Encrypt" in self.trailer:
-            raise PdfError("the file is encrypted")
+            if self._unlock():
+                self._scan()
         if not isinstance(self.get(self.trailer.get("Root")), dict):
             raise PdfError("no document catalog")
 
+    def _unlock(self) -> bool:
+        """Whether the file turns out to be encrypted; what was read of it is forgotten then."""
+        if "Encrypt" not in self.trailer or self._crypt:
+            return False
+        d = self.get(self.trailer["Encrypt"])
+        if not isinstance(d, dict):
+            raise Locked("the file is encrypted")
+        d = {k: self.get(v) for k, v in d.items()}
+        d["CF"] = {k: self.get(v) for k, v in d["CF"].items()} if isinstance(d.get("CF"), dict) else {}
+        ids = self.get(self.trailer.get("ID"))
+        first = self.get(ids[0]) if isinstance(ids, list) and ids else b""
+        try:
+            self._crypt = Crypt(d, first if isinstance(first, bytes) else b"")
+        except (PdfError, ValueError, IndexError, TypeError) as e:
+            raise Locked(str(e)) from e
+        own = self.trailer["Encrypt"]
+        self._objects = {own.number: d} if isinstance(own, Ref) else {}
+        self._packed = {}
+        return True
+
     def get(self, x: Any) -> Any:
         """The object itself, references followed."""
         for _ in range(32):
@@ -67,8 +96,8 @@ class PdfFile:
         if isinstance(value, dict):
             r.skip()
             if self.data.startswith(b"stream", r.at):
-                return Stream(value, self._stream_bytes(value, r.at + 6))
-        return value
+                value = Stream(value, self._stream_bytes(value, r.at + 6))
+        return self._crypt.opened(value, int(m[1]), int(m[2])) if self._crypt else value
 
     def _stream_bytes(self, info: dict, at: int) -> bytes:
         if self.data.startswith(b"\r\n", at):
@@ -171,7 +200,7 @@ class PdfFile:
                 for n, _ in self._packed[number]:
                     self.places.setdefault(n, (number, 0))
             if isinstance(stream, Stream) and stream.info.get("Type") == "XRef":
-                self.trailer |= {k: v for k, v in stream.info.items() if k in ("Root", "Encrypt", "Info")}
+                self.trailer |= {k: v for k, v in stream.info.items() if k in ("Root", "Encrypt", "Info", "ID")}
         for m in re.finditer(rb"trailer", self.data):
             found = Reader(self.data, m.end()).next()
             if isinstance(found, dict):

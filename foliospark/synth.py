@@ -26,7 +26,7 @@ class PdfWriter:
             data, extra = zlib.compress(data, 6), extra + "/Filter/FlateDecode"
         return self.add(f"<</Length {len(data)}{extra}>>stream\n".encode("latin-1") + data + b"\nendstream")
 
-    def file(self, root: int) -> bytes:
+    def file(self, root: int, extra: str = "") -> bytes:
         out, offsets = bytearray(b"%PDF-1.7\n%\xe2\xe3\xcf\xd3\n"), []
         for number, body in enumerate(self.objects, 1):
             offsets.append(len(out))
@@ -34,7 +34,7 @@ class PdfWriter:
         at = len(out)
         out += b"xref\n0 %d\n0000000000 65535 f \n" % (len(offsets) + 1)
         out += b"".join(b"%010d 00000 n \n" % o for o in offsets)
-        out += b"trailer\n<</Size %d/Root %d 0 R>>\nstartxref\n%d\n%%%%EOF\n" % (len(offsets) + 1, root, at)
+        out += b"trailer\n<</Size %d/Root %d 0 R%s>>\nstartxref\n%d\n%%%%EOF\n" % (len(offsets) + 1, root, extra.encode("latin-1"), at)
         return bytes(out)
 
 

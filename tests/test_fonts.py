@@ -38,7 +38,9 @@ def test_base_encodings():
 
 @pytest.mark.parametrize(("name", "text"), [
     ("A", "A"), ("eacute", "é"), ("uni0627", "ا"), ("uni06440627", "لا"), ("uni0644_uni0627.liga", "لا"), ("u1F600", "😀"), ("hyphenminus", "-"), ("f_i.alt", "fi"), ("uni0627_nosuch", None),
-    ("uniD800", None), (".notdef", None), ("uni062", None), ("u110000", None), ("afii57410", "آ"), ("", None), ("comma", ","), ("uni0627uni0628", "اب"),
+    ("uniD800", "\ufffd"), ("uniD83DuniDE00", "😀"), ("uniD83DDE00", "😀"), ("alpha", "α"), ("Alphatonos", "Ά"), ("iotadieresistonos", "ΐ"), ("Omega", "Ω"), ("Deltagreek", "Δ"), ("lambda", "λ"),
+    ("afii10017", "А"), ("afii10049", "Я"), ("afii10071", "ё"), ("afii57664", "א"), ("acyrillic", "а"), ("Becyrillic", "Б"), ("alef", "א"), ("finalkafhebrew", "ך"), ("behfinalarabic", "ﺐ"), ("alefhamzaabovearabic", "أ"),
+    ("ahiragana", "あ"), ("Aogonek", "Ą"), ("Gcommaaccent", "Ģ"), ("scommaaccent", "ș"), ("Odieresis", "Ö"), ("summation", "∑"), ("mu", "µ"), ("g42", None), ("cid1234", None), ("uni06", None), (".notdef", None), ("uni062", None), ("u110000", None), ("afii57410", "آ"), ("", None), ("comma", ","), ("uni0627uni0628", "اب"),
 ])
 def test_glyph_names(name, text):
     assert glyph_name_text(name) == text
