@@ -52,11 +52,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows = row_classes(docs.select("doc_id", "text")).where("class_set IS NOT NULL")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     firsts = rows.groupBy("class_set").agg(first).select(F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash"))
-    # Joined by numbers that are never null, so that the grouping finds the rows where the join has put them.
-    whole = docs.where(some).select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("text").alias("own_hash"), F.xxhash64("doc_id").alias("own_key"))
-    firsts = firsts.withColumn("key", F.xxhash64("id"))
-    kept = whole.join(firsts, (whole.own_hash == firsts.hash) & (whole.own_key == firsts.key) & whole.doc_id.eqNullSafe(firsts.id))
-    once = kept.groupBy("own_hash", "own_key", "doc_id").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    # A row is known by its id's and its text's hashes, which are never null: what is joined by them lies
+    # where the grouping wants it. Ids that are numbers have hashes of their own.
+    key = lambda c: [F.col(c).isNull().alias("none"), F.xxhash64(c).alias("id_hash")]
+    whole = docs.where(some).select(F.struct(*docs.columns).alias("row"), *key("doc_id"), F.xxhash64("text").alias("hash"))
+    kept = whole.join(firsts.select(*key("id"), "hash"), ["hash", "none", "id_hash"])
+    once = kept.groupBy("hash", "none", "id_hash").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return once.select("row.*").unionByName(docs.where(~some))
 
 
