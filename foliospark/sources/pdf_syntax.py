@@ -40,6 +40,13 @@ _TOKEN = re.compile(
 )
 _REF = re.compile(rb"[\x00\t\n\x0c\r ]+(\d+)[\x00\t\n\x0c\r ]+R(?=[\x00\t\n\x0c\r ()<>\[\]{}/%]|$)")
 _NUMBERS = re.compile(rb"([\x00\t\n\x0c\r 0-9+.-]*)\]")
+_SPACE, _NUMBER, _AFTER = rb"[\x00\t\n\x0c\r ]", rb"[+-]?(?:\d+\.?\d*+|\.\d++)", rb"(?=[\x00\t\n\x0c\r ()<>\[\]{}/%]|$)"
+#: An array of numbers and hexadecimal strings, as text is shown with, and its items.
+_SHOWN = re.compile(rb"(?:" + _SPACE + rb"++|<[0-9A-Fa-f]*+>|" + _NUMBER + _AFTER + rb")*+\]")
+_SHOWN_ITEM = re.compile(rb"<([0-9A-Fa-f]*)>|(" + _NUMBER + rb")")
+#: Numbers and an operator behind them.
+_PLAIN_OPERATION = re.compile(_SPACE + rb"*+((?:" + _NUMBER + _SPACE + rb"++)*+)([A-Za-z'\"][A-Za-z0-9'\"*]*+)" + _AFTER)
+_NO_OPERATORS = {b"true", b"false", b"null", b"ID", b"BI"}
 _PLAIN = re.compile(rb"[+-]?(?:\d+\.?\d*|\.\d+)\Z")
 _STRING_PART = re.compile(rb"[^()\\]+")
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
@@ -108,6 +115,10 @@ class Reader:
             if all(map(_PLAIN.match, parts)):
                 self.at = m.end()
                 return [single(p) if b"." in p else int(p) for p in parts]
+        if close == "]" and not self.references and (m := _SHOWN.match(self.data, self.at)):
+            found = _SHOWN_ITEM.findall(self.data, self.at, m.end())
+            self.at = m.end()
+            return [(single(n) if b"." in n else int(n)) if n else bytes.fromhex((h + b"0" * (len(h) % 2)).decode()) for h, n in found]
         while (x := self.next()) is not _END:
             if isinstance(x, Keyword):
                 if x == close:
@@ -156,7 +167,14 @@ def operations(content: bytes):
     """(operator, operands) of a content stream; inline images are passed over."""
     r = Reader(content, references=False)
     operands: list = []
-    while (x := r.next()) is not _END:
+    while True:
+        if not operands and (m := _PLAIN_OPERATION.match(content, r.at)) and m[2] not in _NO_OPERATORS:
+            r.at = m.end()
+            yield m[2].decode("latin-1"), [single(p) if b"." in p else int(p) for p in m[1].replace(b"\x00", b" ").split()]
+            continue
+        x = r.next()
+        if x is _END:
+            return
         if not isinstance(x, Keyword):
             operands.append(x)
             continue
