@@ -16,7 +16,8 @@ from foliospark.session import dealt, prepare, spread, table
 from foliospark.synth import LINES_PER_PAGE
 
 
-def _pages(spark: SparkSession, sf_dir: str, maker: str) -> DataFrame:
+def made_files(spark: SparkSession, sf_dir: str, maker: str) -> DataFrame:
+    """(doc_id, content): a file of ``synth_pages`` for each document."""
     prepare(spark, extract.BATCH_ROWS)
 
     def written(batches):
@@ -27,8 +28,11 @@ def _pages(spark: SparkSession, sf_dir: str, maker: str) -> DataFrame:
             files = [make(i, t or "") for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(files, pa.binary())], names=["doc_id", "content"])
 
-    files = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).mapInArrow(written, "doc_id long, content binary")
-    return extract.extract(files)
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).mapInArrow(written, "doc_id long, content binary")
+
+
+def _pages(spark: SparkSession, sf_dir: str, maker: str) -> DataFrame:
+    return extract.extract(made_files(spark, sf_dir, maker))
 
 
 def _text(pages: DataFrame) -> DataFrame:
