@@ -77,6 +77,11 @@ def drawn_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text(_pages(spark, sf_dir, "drawn_pdf"))
 
 
+def packed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with object and cross-reference streams; of three one is plain, one locked by RC4, one by AES."""
+    return _text(_pages(spark, sf_dir, "packed_pdf"))
+
+
 def _order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark, 256)
     item = F.struct(
@@ -136,7 +141,7 @@ def json_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (arabic_pages, arabic_lines, column_pages, tagged_pages, form_pages, form_fonts, drawn_pages, order_cells, order_blocks, order_html, json_blocks)
+    for f in (arabic_pages, arabic_lines, column_pages, tagged_pages, form_pages, form_fonts, drawn_pages, packed_pages, order_cells, order_blocks, order_html, json_blocks)
 }
 
 _TOLD = f"translate(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(w, '([{P.CONSONANTS}])a', '\\1{P.VOWEL_MARKS[0]}', 'g'), '([{P.CONSONANTS}])e', '\\1{P.VOWEL_MARKS[1]}', 'g'), '([{P.CONSONANTS}])i', '\\1{P.VOWEL_MARKS[2]}', 'g'), '([{P.CONSONANTS}])o', '\\1{P.VOWEL_MARKS[3]}', 'g'), '([{P.CONSONANTS}])u', '\\1{P.VOWEL_MARKS[4]}', 'g'), '{P.CONSONANTS}{P.VOWELS}0123456789', '{P.CONSONANT_LETTERS}{P.VOWEL_LETTERS}{P.DIGITS}')"
@@ -194,6 +199,7 @@ ORACLE_SQL = {
     "tagged_pages": _PLAIN + "SELECT doc_id, page, doc_id % 5 <> 0 AS tagged, string_agg(text, chr(10) ORDER BY CASE WHEN doc_id % 5 = 0 THEN -n ELSE n END) AS text FROM paged GROUP BY doc_id, page",
     "form_pages": _BY_PAGE,
     "drawn_pages": _BY_PAGE,
+    "packed_pages": _BY_PAGE,
     "form_fonts": _PLAIN
     + "SELECT f AS name, 'Helvetica' AS base_font, 'encoding' AS route, count(*) AS pages FROM (SELECT DISTINCT doc_id, page FROM paged), (SELECT unnest(['F1', 'Fm0/G1', 'Fm0/In0/G1']) AS f) GROUP BY f",
     "order_cells": _ITEMS

@@ -1,12 +1,16 @@
 """Files with the page features that plain documents lack: right-to-left lines in composite fonts with
-marks, ligatures and stretched joins, columns, tags, forms, ruled tables and embedded font programs."""
+marks, ligatures and stretched joins, columns, tags, forms, ruled tables, embedded font programs, packed
+and locked objects."""
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
+import zlib
 from unicodedata import decomposition
 
+from foliospark.sources import pdf_crypt
 from foliospark.synth import LEADING, LINES_PER_PAGE, SIZE, TOP, PdfWriter, literal
 
 SIMPLE_FONT = "<</Type/Font/Subtype/Type1/BaseFont/Helvetica/Encoding/WinAnsiEncoding/FirstChar 0/Widths[" + "500 " * 256 + "]>>"
@@ -252,3 +256,68 @@ def table_pdf(title: str, header: str, rows: list[list[str]], short_rule: bool)
     body += [_tj(left, top + 100, title), _tj(left + 4, top - ROW + 5, header)]
     body += [_tj(left + 4 + PITCH * c, top - ROW * (r + 2) + 5, cell) for r, row in enumerate(rows) for c, cell in enumerate(row)]
     return _file(w, [(b"\n".join([*body, b"ET"]), f"/Font<</F1 {font} 0 R>>", 800)])
+
+
+class _Lock:
+    """What the standard handler of revision 3 (RC4) or 4 (AES) does with streams, for an empty password."""
+
+    def __init__(self, file_id: bytes, method: str) -> None:
+        self.method, self.file_id = method, file_id
+        key = hashlib.md5(pdf_crypt.PADDING + bytes(32) + b"\xfc\xff\xff\xff" + file_id).digest()
+        for _ in range(50):
+            key = hashlib.md5(key).digest()
+        self.key = key
+
+    def dictionary(self) -> bytes:
+        user = hashlib.md5(pdf_crypt.PADDING + self.file_id).digest()
+        for i in range(20):
+            user = pdf_crypt.rc4(bytes(b ^ i for b in self.key), user)
+        filters = "" if self.method == "V2" else "/CF<</StdCF<</CFM/AESV2/Length 16>>>>/StmF/StdCF/StrF/StdCF"
+        version, revision = (2, 3) if self.method == "V2" else (4, 4)
+        return f"<</Filter/Standard/V {version}/R {revision}/Length 128/P -4/O<{'00' * 32}>/U<{user.hex()}{'00' * 16}>{filters}>>".encode()
+
+    def shut(self, data: bytes, number: int) -> bytes:
+        aes = self.method == "AESV2"
+        key = hashlib.md5(self.key + number.to_bytes(3, "little") + bytes(2) + (b"sAlT" if aes else b"")).digest()
+        if not aes:
+            return pdf_crypt.rc4(key, data)
+        pad = 16 - len(data) % 16
+        return self.file_id + pdf_crypt.aes_encrypt(key, data + bytes([pad]) * pad, self.file_id)
+
+
+def packed_pdf(doc_id: int, text: str) -> bytes:
+    """Objects in an object stream, places in a cross-reference stream with a predictor; of three documents
+    one is plain, one locked by RC4, one by AES, both without a password."""
+    parts = _chunks(painted_lines(text))
+    file_id = hashlib.md5(str(doc_id).encode()).digest()
+    lock = _Lock(file_id, ("V2", "AESV2")[doc_id % 3 - 1]) if doc_id % 3 else None
+    n = len(parts)
+    objects = {1: "<</Type/Catalog/Pages 2 0 R>>", 2: f"<</Type/Pages/Count {n}/MediaBox[0 0 612 842]/Kids[{' '.join(f'{4 + i} 0 R' for i in range(n))}]/Resources<</Font<</F1 3 0 R>>>>>>", 3: SIMPLE_FONT}
+    objects |= {4 + i: f"<</Type/Page/Parent 2 0 R/Contents {4 + n + i} 0 R>>" for i in range(n)}
+    out, places = bytearray(b"%PDF-1.7\n"), {}
+
+    def put(number: int, info: str, data: bytes, shut: bool = True) -> None:
+        places[number] = len(out)
+        data = zlib.compress(data)
+        data = lock.shut(data, number) if lock and shut else data
+        out.extend(b"%d 0 obj\n<<%s/Filter/FlateDecode/Length %d>>stream\n%s\nendstream\nendobj\n" % (number, info.encode(), len(data), data))
+
+    for i, part in enumerate(parts):
+        body = [b"BT /F1 %d Tf" % SIZE, *(_tj(0, TOP - LEADING * k, line) for k, line in enumerate(part)), b"ET"]
+        put(4 + n + i, "", b"\n".join(body))
+    holder, told, table = 4 + 2 * n, 5 + 2 * n, 6 + 2 * n
+    head, body = "", ""
+    for number, o in objects.items():
+        head += f"{number} {len(body)} "
+        body += o + " "
+    put(holder, f"/Type/ObjStm/N {len(objects)}/First {len(head)}", (head + body).encode("latin-1"))
+    if lock:
+        places[told] = len(out)
+        out += b"%d 0 obj\n%s\nendobj\n" % (told, lock.dictionary())
+    at = places[table] = len(out)
+    packed = {number: k for k, number in enumerate(objects)}
+    rows = [struct.pack(">BIH", *((2, holder, packed[k]) if k in packed else (1, places[k], 0) if k in places else (0, 0, 0))) for k in range(table + 1)]
+    up = b"".join(b"\x02" + bytes((a - b) & 255 for a, b in zip(r, q, strict=True)) for r, q in zip(rows, [bytes(7), *rows[:-1]], strict=True))
+    locked = f"/Encrypt {told} 0 R/ID[<{file_id.hex()}><{file_id.hex()}>]" if lock else ""
+    put(table, f"/Type/XRef/Size {table + 1}/W[1 4 2]/Root 1 0 R{locked}/DecodeParms<</Predictor 12/Columns 7>>", up, shut=False)
+    return bytes(out) + b"startxref\n%d\n%%%%EOF\n" % at
