@@ -74,6 +74,21 @@ def glyph_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", U.glyph_name_text(name).alias("text"))
 
 
+#: Greek letters by their names in the glyph list, with their code points.
+GREEK = dict(zip("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split(), (*range(945, 956), *range(957, 962), *range(963, 970)), strict=True))
+
+
+def script_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of Cyrillic, Hebrew, Arabic and Greek letters, and names that say nothing."""
+    prepare(spark)
+    k = F.floor(F.col("p_partkey") / 6)
+    numbered = lambda first, n: F.concat(F.lit("afii"), (first + k % n).cast("string"))
+    names = F.array(*map(F.lit, GREEK))
+    kinds = (numbered(10017, 6), numbered(10072, 26), numbered(57664, 27), numbered(57409, 26), F.concat(F.get(names, (k % len(GREEK)).cast("int")), F.lit(".alt")), F.concat(F.lit("g"), k.cast("string")))
+    name = F.get(F.array(*kinds), (F.col("p_partkey") % 6).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", U.glyph_name_text(name).alias("text"))
+
+
 def glyph_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table for codes below 300, that gives every fifth code glyph 0."""
     codes = _codes(spark, sf_dir)
@@ -192,7 +207,7 @@ def cmap_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        cmap_lookup, cmap_size, base_encodings, encoding_decode, glyph_names, glyph_of, prefer_forms, separator_arbitration, map_verdict, decode_chain, simple_widths, cid_widths,
+        cmap_lookup, cmap_size, base_encodings, encoding_decode, glyph_names, script_names, glyph_of, prefer_forms, separator_arbitration, map_verdict, decode_chain, simple_widths, cid_widths,
         font_routes, image_spaces, used_codes, png_images, cmap_texts,
     )
 }
@@ -223,6 +238,9 @@ UNION ALL SELECT 'WinAnsiEncoding', c, chr(p) FROM (VALUES {_WINANSI_HIGH}) w(c,
     + f"""SELECT font_key, code, CASE WHEN code > 255 OR code % 15 = 0 THEN NULL WHEN code % 10 = 0 THEN 'diff' WHEN code BETWEEN 32 AND 126 OR code BETWEEN 160 AND 255 THEN chr(code) ELSE chr(p) END AS encoded
  FROM k LEFT JOIN (VALUES {_WINANSI_HIGH}) w(c, p) ON c = code""",
     "glyph_names": "SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 THEN chr((p_partkey % 500 + 65)::INT) || chr((p_partkey % 300 + 1000)::INT) END AS text FROM part",
+    "script_names": f"""
+WITH p AS (SELECT p_partkey, p_partkey % 6 AS kind, p_partkey // 6 AS k FROM part)
+SELECT p_partkey, chr(CASE kind WHEN 0 THEN 1040 + k % 6 WHEN 1 THEN 1078 + k % 26 WHEN 2 THEN 1488 + k % 27 WHEN 3 THEN 1569 + k % 26 WHEN 4 THEN {list(GREEK.values())}[k % {len(GREEK)} + 1] END::INT) AS text FROM p""",
     "glyph_of": _CODES + "SELECT font_key, code, CASE WHEN code < 300 AND code % 5 <> 0 THEN code + 3 END::INT AS gid FROM k",
     "prefer_forms": """
 WITH p AS (SELECT p_brand AS font_key, (p_partkey % 50)::INT AS gid, CASE WHEN p_partkey % 2 = 0 THEN 1568 + p_partkey % 31 WHEN p_partkey % 3 = 0 THEN 65152 + p_partkey % 50 ELSE 0 END::INT AS point FROM part)
