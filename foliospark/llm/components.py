@@ -20,7 +20,7 @@ def connected_components(edges: DataFrame, kept: Workspace, rounds: int | None =
     spark = edges.sparkSession
     rows = 2 * edges.count()
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both, edges_path = kept.table(both, "edges", rows)
+    both, edges_path = kept.table(both, "edges", rows, narrow=True)
     state, path = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("component")), None
     while rounds is None or rounds > 0:
         rounds = rounds and rounds - 1
@@ -28,7 +28,7 @@ def connected_components(edges: DataFrame, kept: Workspace, rounds: int | None =
         own = state.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("label"))
         over = state.select(F.col("node").alias("label"), F.col("component").alias("beyond"))
         after = own.join(over, "label").select("node", F.least("label", "beyond").alias("component"), "was")
-        after, next_path = kept.table(after, "components", rows)
+        after, next_path = kept.table(after, "components", rows, narrow=True)
         changed = after.where("component <> was").count()
         if path:
             dropped(spark, path)

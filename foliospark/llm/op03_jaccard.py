@@ -407,7 +407,7 @@ def _row_classes(docs: DataFrame, threshold: float, size: int, recall: float, ke
             if known is not None:
                 recalls = recalls.union(known.where("done").select("set_id", "done")).groupBy("set_id").agg(F.max("done").alias("done"))
             groups = connected_components(edges, kept, rounds=1).withColumnRenamed("node", "set_id")
-            known = kept.stored(groups.join(recalls, "set_id", "left").select("set_id", "component", F.coalesce("done", F.lit(False)).alias("done")), "known", rows)
+            known = kept.stored(groups.join(recalls, "set_id", "left").select("set_id", "component", F.coalesce("done", F.lit(False)).alias("done")), "known", rows, narrow=True)
     groups = connected_components(edges, kept).withColumnRenamed("node", "set_id")
 
     wanted = sets.join(groups, "set_id")
@@ -422,10 +422,10 @@ def _row_classes(docs: DataFrame, threshold: float, size: int, recall: float, ke
     grouped = connected_components(checked.where("set_id <> tie").select(F.col("set_id").alias("a"), F.col("tie").alias("b")), kept).withColumnRenamed("node", "set_id")
     links = checked.groupBy("set_id").agg(F.sum("links").alias("links"))
     # Stored sides: a join straight over two tables can split a group or a set that holds many rows.
-    firsts = kept.stored(grouped.join(sets.select("set_id", "first_doc"), "set_id").groupBy("component").agg(F.min("first_doc").alias("class_doc")), "classes", rows)
+    firsts = kept.stored(grouped.join(sets.select("set_id", "first_doc"), "set_id").groupBy("component").agg(F.min("first_doc").alias("class_doc")), "classes", rows, narrow=True)
     classes = grouped.join(firsts, "component").select("set_id", "class_doc", "component")
     named = sets.select("set_id", "first_doc", "copies").join(classes, "set_id", "left").join(links, "set_id", "left")
-    named = kept.stored(named.select("set_id", F.coalesce("class_doc", "first_doc").alias("class_doc"), F.coalesce("component", "set_id").alias("class_set"), "copies", F.coalesce("links", F.lit(0)).alias("links")), "named-sets", rows)
+    named = kept.stored(named.select("set_id", F.coalesce("class_doc", "first_doc").alias("class_doc"), F.coalesce("component", "set_id").alias("class_set"), "copies", F.coalesce("links", F.lit(0)).alias("links")), "named-sets", rows, narrow=True)
     out = sketches.select("doc_id", "text_hash", "set_id").join(named, "set_id", "left")
     out = out.select(
         "doc_id",

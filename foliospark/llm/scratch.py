@@ -23,23 +23,29 @@ def scratch_dir(spark: SparkSession) -> str:
 
 #: Rows of a stored file of a table whose size is known; small tables have a file for each core.
 FILE_ROWS = 1 << 17
+#: Without native libraries, each file and folder made in a local store gets its mode from a child process, and
+#: until that has begun its program, it counts with all memory of the JVM it comes from, once more. So there
+#: is no file of checksums beside each file (the pages hold checksums of their own, see _READ) and no mark of success.
+_WRITE = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
+_READ = {"parquet.page.verify-checksum.enabled": "true"}
 
 
-def stored(df: DataFrame, name: str, rows: int | None = None) -> tuple[DataFrame, str]:
+def stored(df: DataFrame, name: str, rows: int | None = None, narrow: bool = False) -> tuple[DataFrame, str]:
     """Writes ``df`` to the shared folder and reads it back: lineage ends here, every executor can
     read it, and the shuffle files of the write are no longer needed. ``rows``: about how many rows
-    it has, for fewer files than shuffle partitions where it is small."""
+    it has, for fewer files than shuffle partitions where it is small. ``narrow``: a row is a few numbers
+    that cost little to make, so FILE_ROWS of them make one file."""
     spark = df.sparkSession
     if rows is not None:
-        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
+        df = df.coalesce(max(1 if narrow else spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     path = f"{scratch_dir(spark)}/foliospark/{name}-{uuid.uuid4().hex}.parquet"
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**_WRITE).parquet(path)
     finally:
         spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path), path
+    return spark.read.options(**_READ).schema(df.schema).parquet(path), path
 
 
 def dropped(spark: SparkSession, path: str) -> None:
@@ -71,13 +77,13 @@ class Workspace:
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.paths = spark, []
 
-    def table(self, df: DataFrame, name: str, rows: int | None = None) -> tuple[DataFrame, str]:
-        out, path = stored(df, name, rows)
+    def table(self, df: DataFrame, name: str, rows: int | None = None, narrow: bool = False) -> tuple[DataFrame, str]:
+        out, path = stored(df, name, rows, narrow)
         self.paths.append(path)
         return out, path
 
-    def stored(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
-        return self.table(df, name, rows)[0]
+    def stored(self, df: DataFrame, name: str, rows: int | None = None, narrow: bool = False) -> DataFrame:
+        return self.table(df, name, rows, narrow)[0]
 
     def __enter__(self) -> Workspace:
         return self

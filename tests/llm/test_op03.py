@@ -190,3 +190,20 @@ def test_only_the_result_stays_stored(spark, tmp_path):
     assert len(set(folder.iterdir()) - before) == 1
     scratch.release(spark)
     assert set(folder.iterdir()) == before
+
+
+def test_a_stored_file_is_one_file_and_damage_to_it_is_noticed(spark):
+    """No files of checksums and no mark beside it, since each file made costs a child process of the JVM."""
+    df = spark.range(0, 1000, 1, 7).selectExpr("id", "id * id AS square")
+    out, path = scratch.stored(df, "test", 1000, narrow=True)
+    folder = Path(path.removeprefix("file://"))
+    names = [p.name for p in folder.iterdir()]
+    assert len(names) == 1 and names[0].endswith(".parquet")
+    assert sorted(map(tuple, out.collect())) == [(i, i * i) for i in range(1000)]
+    raw = bytearray((folder / names[0]).read_bytes())
+    raw[100] ^= 1
+    (folder / names[0]).write_bytes(raw)
+    with pytest.raises(Exception, match="(?i)checksum|crc"):
+        out.collect()
+    scratch.dropped(spark, path)
+    assert not folder.exists()
